@@ -6,6 +6,7 @@ import importlib
 
 MODULES = {
     "op4_language_id": "language_id",
+    "op6_line_dedup": "line_dedup",
 }
 
 
