@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op2_ngram_jaccard_join": "ngram_join",
     "op4_language_id": "language_id",
     "op6_line_dedup": "line_dedup",
 }
