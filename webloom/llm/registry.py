@@ -6,6 +6,7 @@ import importlib
 
 MODULES = {
     "op2_ngram_jaccard_join": "ngram_join",
+    "op3_decontamination": "decontamination",
     "op4_language_id": "language_id",
     "op6_line_dedup": "line_dedup",
 }
