@@ -9,6 +9,7 @@ MODULES = {
     "op3_decontamination": "decontamination",
     "op4_language_id": "language_id",
     "op6_line_dedup": "line_dedup",
+    "op7_packing": "packing",
 }
 
 
