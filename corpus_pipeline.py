@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import language_id
+from webloom.llm import decontamination, language_id, line_dedup, ngram_join, packing
 from webloom.llm._common import work_dir
 
 STAGES = [
     ("language_id", language_id.keep_identified),
+    ("line_dedup", line_dedup.keep_lines),
+    ("ngram_jaccard_join", ngram_join.keep_one),
+    ("decontamination", decontamination.keep_clean),
+    ("packing", packing.pack_all),
 ]
 
 #: The first stage is a trained model, which SQL can't express; tests hold every stage against brute force.
