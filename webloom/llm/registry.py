@@ -8,6 +8,7 @@ MODULES = {
     "op2_ngram_jaccard_join": "ngram_join",
     "op3_decontamination": "decontamination",
     "op4_language_id": "language_id",
+    "op5_substring_dedup": "substring_dedup",
     "op6_line_dedup": "line_dedup",
     "op7_packing": "packing",
 }
