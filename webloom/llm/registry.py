@@ -11,6 +11,7 @@ MODULES = {
     "op5_substring_dedup": "substring_dedup",
     "op6_line_dedup": "line_dedup",
     "op7_packing": "packing",
+    "op10_suffix_array_dedup": "suffix_dedup",
 }
 
 
