@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import graphs, relational, streams, web  # noqa: F401  each registers its queries
+from .projections import QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
