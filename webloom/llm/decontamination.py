@@ -243,7 +243,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
 def op3_decontamination(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     found = decontaminate(documents(spark, sf_dir), items)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
 def keep_clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -251,3 +251,28 @@ def keep_clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     gone = decontaminate(docs, items, slop=None).filter("contaminated").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+#: Words of a window are joined by blanks, which no word has.
+ORACLE_SQL = """
+WITH t AS (
+  SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), w AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS ws FROM t
+), i AS (
+  SELECT DISTINCT id AS item_id, array_to_string(ws[s:s + 12], ' ') AS win, least(13, len(ws)) AS m
+  FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 11, 2))) AS s FROM w WHERE kind = 1 AND len(ws) > 0)
+), g AS (
+  SELECT id AS doc_id, m, s, array_to_string(ws[s:s + m - 1], ' ') AS win
+  FROM (SELECT id, ws, m, unnest(range(1, len(ws) - m + 2)) AS s FROM w JOIN (SELECT DISTINCT m FROM i) ON len(ws) >= m WHERE kind = 0)
+), h AS (
+  SELECT g.doc_id, g.s, g.m, i.item_id FROM g JOIN i ON i.win = g.win AND i.m = g.m
+), p AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS place FROM h) GROUP BY doc_id
+), f AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id
+)
+SELECT id AS doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN p ON p.doc_id = id LEFT JOIN f ON f.doc_id = id WHERE kind = 0
+"""
