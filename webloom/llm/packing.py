@@ -1,6 +1,6 @@
 """Packing of documents into token sequences along a space-filling curve.
 
-Each document's hashed word vector is projected to a few dimensions by fixed random signs; its Hilbert index
+Each document's token counts, hashed to a fixed random vector each, are projected to a few dimensions; the Hilbert index
 orders the documents, so that neighbours along the curve are alike. The index, with a hash of the id below it,
 is range-partitioned by quantiles, sorted, and the tokens are cut into sequences along that order: a document's
 place is the sum of tokens before it, from the totals of the ranges. Only the last sequence isn't full.
@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, as_bytes, documents, saved, slices
+from ._common import as_bytes, documents, saved, slices
 
 LENGTH = 1024
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Dimensions of the curve, and bits of each.
 DIMS, BITS = 4, 8
-#: Documents of one range, about.
-RANGE_ROWS = 20_000
+#: Documents of one range, about; ranges at most, as each is a branch of an expression and a total on the driver.
+RANGE_ROWS, MOST_RANGES = 5_000, 2_000
 #: Characters of which the tokenizer's own pattern is known to be SPLIT: others go through the tokenizer whole.
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 SAFE = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ]*\Z")
@@ -39,7 +39,7 @@ SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\
 class Encoder(dict):
     """Token ids of texts as bytes of little-endian numbers; the ids of each piece between cuts are kept."""
 
-    LIMIT = 500_000
+    LIMIT = 1_000_000
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
@@ -105,16 +105,17 @@ def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def coordinates(words: np.ndarray) -> np.ndarray:
-    """The mean of the words' hashed vectors (a sign for each dimension and hash bit), scaled to BITS bits."""
-    if not len(words):
+@cache
+def token_vectors(size: int) -> np.ndarray:
+    """A fixed random vector for each token id, with parts of mean 0 and deviation 1."""
+    return np.random.default_rng(11).standard_normal((size, DIMS)).astype(np.float32)
+
+
+def coordinates(ids: np.ndarray, size: int) -> np.ndarray:
+    """The sum of the tokens' vectors, scaled by its deviation, in BITS bits."""
+    if not len(ids):
         return np.zeros(DIMS, np.int64)
-    values = np.empty(DIMS)
-    for d in range(DIMS):
-        bits = (words >> np.uint64(d * 16)) & np.uint64(0xFFFF)
-        values[d] = (bits.astype(np.float64) / 65535 - 0.5).mean()
-    # The mean of m uniform values has the deviation sqrt(1 / 12 m).
-    scaled = values * np.sqrt(12 * len(words))
+    scaled = token_vectors(size)[ids].sum(axis=0) / np.sqrt(len(ids))
     return np.clip(((scaled + 3) / 6 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
 
 
@@ -122,13 +123,13 @@ def encoded(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "
     """doc_id, place (Hilbert index above a hash of the id), n, ids; stored."""
 
     def run(batches):
-        enc, words = encoder(tokenizer), WordHashes()
-        end = np.array([END], enc.kind).tobytes()
+        enc = encoder(tokenizer)
+        size, end = enc.tokenizer.get_vocab_size(), np.array([END], enc.kind).tobytes()
         step = len(end)
         for batch in slices(batches):
             texts = as_bytes(batch.column("text"))
             ids = [enc.encode(t.decode()) + end for t in texts]
-            place = hilbert(np.array([coordinates(words.array(t.lower().split())) for t in texts]), BITS)
+            place = hilbert(np.array([coordinates(np.frombuffer(x, enc.kind), size) for x in ids]), BITS)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(place), pa.array([len(x) // step for x in ids], pa.int64()), pa.array(ids)], names=["doc_id", "place", "n", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, place long, n long, ids binary")
@@ -138,9 +139,8 @@ def encoded(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """A row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ids on demand."""
-    spark = docs.sparkSession
     tokens = encoded(docs, tokenizer, text, doc_id)
-    ranges = max(1, -(-tokens.count() // RANGE_ROWS))
+    ranges = min(MOST_RANGES, max(1, -(-tokens.count() // RANGE_ROWS)))
     bounds = []
     if ranges > 1:
         bounds = sorted(set(tokens.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]))
@@ -172,7 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, text: str = "tex
             for i in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 20_000], strict=True), [pa.int64()] * 7 + [pa.binary()], strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    order = tokens.repartition(max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions"))), "part").sortWithinPartitions("part", "place", "doc_id", "n", "ids")
+    order = tokens.repartitionById(ranges, "part").sortWithinPartitions("part", "place", "doc_id", "n", "ids")
     rows = order.select("part", "doc_id", "n", "ids").mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     return rows if with_ids else rows.drop("ids")
 
