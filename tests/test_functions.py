@@ -179,3 +179,38 @@ def test_same_for_any_partitions(spark):
         results.append(registry.queries()["all_findings"](spark, "/root/testdata/sf0.001").orderBy("finding_id").collect())
     spark.conf.set(key, before)
     assert results[0] == results[1]
+
+
+@pytest.mark.parametrize(
+    "form,text,cut,want",
+    [("Tracking and Measurement", "Tracking & Measurement szolgáltatás", False, True), ("Eprivacy", "E-Privacy", False, True), ("Mérés", "Kimérés", False, False), ("Google Tag Manager beállítás", "Tag Manager | Minta", False, True), ("Keresőoptimalizálás webáruházaknak", "Keresőoptimalizálás webáruhá", True, True), ("Keresőoptimalizálás webáruházaknak", "Keresőoptimalizálás webáruhá", False, False), ("x", None, False, False)],
+)
+def test_named(form, text, cut, want):
+    assert X.named([form], text, cut) == want
+
+
+def test_more_findings(spark):
+    make = spark.createDataFrame
+    kinds = lambda df: sorted((r.type, r.severity, r.page_id) for r in df.collect())
+    assert kinds(D.h1_outside_content(make([(1, 1, "chrome", "a"), (2, 1, "chrome", "b"), (2, 1, "content", "c")], "page_id long, level int, region string, text string"))) == [("h1_outside_content", "medium", 1)]
+    legal = D.legal_pages(make([("s", "terms")], "site string, kind string"), make([(4, "privacy", False), (5, "contact", True)], "page_id long, kind string, in_footer boolean"))
+    assert {(r.severity, r.page_id) for r in legal.collect()} == {("low", 4), ("medium", None)}
+    assert kinds(D.soft_404(make([(1, "not_found"), (2, "other")], "page_id long, page_type string"))) == [("soft_404", "medium", 1)]
+    assert len(D.schema_id_names(make([("#a", ["x", "y"])], "id string, names array<string>")).collect()) == 1
+    assert kinds(D.article_markup(make([("s", 1, "article", True), ("s", 2, "offer", True), ("s", 3, "offer", False)], "site string, page_id long, role string, has_article boolean"))) == [("article_markup_on_other_pages", "medium", 2)]
+    homes = make([("hu", "https://x.hu/"), ("en", "https://x.hu/en/")], "lang string, url string")
+    assert kinds(D.breadcrumb_foreign_home(make([(1, "en", "https://x.hu/"), (2, "hu", "https://x.hu/")], "page_id long, lang string, first_url string"), homes)) == [("breadcrumb_foreign_home", "low", 1)]
+    items = make([("en", "header", "Home", "https://x.hu/"), ("hu", "header", "Gone", "https://x.hu/g")], "lang string, area string, anchor string, url string")
+    states = make([("https://x.hu/g", 404, "https://x.hu/g"), ("https://x.hu/", 200, "https://x.hu")], "url string, status int, final_url string")
+    assert [r.type for r in D.menu_targets(items, states, homes).collect()] == ["menu_home_target", "menu_broken_target"]
+    crumbs = make([(i, "k", ["home"]) for i in range(3)], "page_id long, key string, steps array<string>")
+    assert len(D.breadcrumb_ignores_menu(make([("k", "p")], "key string, parent string"), crumbs).collect()) == 1
+    links = make([(1, "https://x.hu/cart/a", "/cart", False, True, "nav"), (2, "https://x.hu/b", "/b", False, True, "body"), (3, "https://x.hu/c", None, True, True, "nav")], "to_page_id long, to_url string, pattern string, allowed boolean, indexable boolean, position string")
+    assert sorted(r.severity for r in D.robots_blocked_links(links).collect()) == ["high", "low"]
+    rules = make([("h", "googlebot", False, "/"), ("h", "gptbot", False, "/"), ("h", "bingbot", False, "/x")], "host string, agent string, allow boolean, pattern string")
+    assert sorted((r.evidence, r.severity) for r in D.robots_blocked_bots(rules).collect()) == [("h:googlebot", "high"), ("h:gptbot", "low")]
+    pages = make([(1, "Más", "Mérés és adat", 7, "Mérés"), (2, "Mérés", "x", 7, "Mérés")], "page_id long, title string, text string, entity_id long, name string")
+    assert [(r.page_id, r.evidence) for r in D.title_without_main_entity(pages).collect()] == [(1, "visible only")]
+    assert kinds(D.title_mismatch(pages.withColumnRenamed("text", "h1"))) == [("h1_title_mismatch", "high", 1), ("h1_title_mismatch", "medium", 2)]
+    forms = D.link_forms(make([(1, 2, "http://x.hu/a", "https://x.hu/a", "nav"), (1, 3, "https://x.hu/b", "https://x.hu/b", "nav")], "from_page_id long, to_page_id long, raw_url string, stored_url string, position string"), F.lit(False))
+    assert [(r.page_id, r.severity, r.evidence) for r in forms.collect()] == [(2, "medium", "protocol:1")]

@@ -105,6 +105,100 @@ def uncovered_topics(weights: DataFrame, names: DataFrame, groups: int = 3, ofte
     return finding(rows, "uncovered_topic", F.when(F.col("pages") >= often, "medium").otherwise("low"), None, F.col("entity_id"), F.col("name"))
 
 
+def missing_pages(weights: DataFrame, families: DataFrame, often: int = 10) -> DataFrame:
+    """families (entity_id, name) of the top tenth without a main page of their own: high if many pages name them."""
+    top = A.top_share(weights, [F.desc("weight"), F.asc("entity_id")], 0.1)
+    rows = top.filter((F.col("main_pages") == 0) & (F.col("pages") >= 3)).join(families, "entity_id")
+    return finding(rows, "missing_page", F.when(F.col("pages") >= often, "high").otherwise("medium"), None, F.col("entity_id"), F.col("name"))
+
+
+def h1_outside_content(blocks: DataFrame) -> DataFrame:
+    """blocks (page_id, level, region, text): pages whose h1 all stand in the page's frame."""
+    heads = blocks.filter("level = 1").groupBy("page_id").agg(F.bool_and(F.col("region") == "chrome").alias("outside"), F.min("text").alias("text"))
+    return finding(heads.filter("outside"), "h1_outside_content", "medium", F.col("page_id"), None, F.col("text"))
+
+
+def legal_pages(missing: DataFrame, linked: DataFrame, partial: bool = False) -> DataFrame:
+    """missing (site, kind) and linked (page_id, kind, in_footer): a kind without a page, medium, low after a partial crawl; one the footer doesn't link, low."""
+    none = F.lit(None).cast("long")
+    gone = finding(missing, "legal_page", "low" if partial else "medium", none, None, F.concat_ws(":", F.lit("missing"), "site", "kind"))
+    hidden = finding(linked.filter(~F.col("in_footer")), "legal_page", "low", F.col("page_id"), None, F.concat_ws(":", F.lit("not in footer"), "kind"))
+    return gone.unionByName(hidden)
+
+
+def soft_404(types: DataFrame) -> DataFrame:
+    return finding(types.filter("page_type = 'not_found'"), "soft_404", "medium", F.col("page_id"), None, F.lit("not_found"))
+
+
+def schema_id_names(ids: DataFrame) -> DataFrame:
+    """ids (id, names): one node id with several names."""
+    return finding(ids, "schema_id_names", "low", None, None, F.concat_ws(" | ", "id", "names"))
+
+
+def title_without_main_entity(pages: DataFrame) -> DataFrame:
+    """pages (page_id, title, text, entity_id, name): a main entity that the visible text names and the title doesn't, or neither does."""
+    key = X.alias_key(F.col("name"))
+    rows = pages.withColumns({"in_title": X.occurs(key, X.alias_key(F.col("title"))), "in_text": X.occurs(key, X.alias_key(F.col("text")))})
+    case = F.when(F.col("title").isNull() | (F.col("title") == ""), "no title").when(F.col("in_text"), "visible only").otherwise("nowhere")
+    return finding(rows.filter("in_title IS NULL OR NOT in_title"), "title_without_main_entity", "low", F.col("page_id"), F.col("entity_id"), case)
+
+
+def article_markup(pages: DataFrame, share: float = 0.6) -> DataFrame:
+    """pages (site, page_id, role, has_article): where most of a site's pages carry article markup, those that are no articles."""
+    marked = F.avg(F.col("has_article").cast("double")).over(Window.partitionBy("site"))
+    rows = pages.withColumn("share", marked).filter((F.col("share") >= share) & F.col("has_article") & (F.col("role") != "article"))
+    return finding(rows, "article_markup_on_other_pages", "medium", F.col("page_id"), None, F.round("share", 4).cast("string"))
+
+
+def breadcrumb_foreign_home(crumbs: DataFrame, homes: DataFrame) -> DataFrame:
+    """crumbs (page_id, lang, first_url), homes (lang, url): a trail that starts at another language's home."""
+    key = lambda c: U.page_url(F.col(c))
+    other = homes.select(F.col("lang").alias("home_lang"), key("url").alias("k"))
+    rows = crumbs.withColumn("k", key("first_url")).join(other, "k").filter("home_lang <> lang")
+    own = homes.select("lang", key("url").alias("k"))
+    return finding(rows.join(own, ["lang", "k"], "left_anti"), "breadcrumb_foreign_home", "low", F.col("page_id"), None, F.col("first_url"))
+
+
+def menu_targets(items: DataFrame, pages: DataFrame, homes: DataFrame) -> DataFrame:
+    """items (lang, area, anchor, url), pages (url, status, final_url), homes (lang, url): menu items called home that lead elsewhere, and items whose target fails or redirects."""
+    called = F.lower(F.trim("anchor")).isin("home", "homepage", "start", "startseite", "accueil", "inicio", "főoldal", "kezdőlap")
+    own = homes.select("lang", U.page_url(F.col("url")).alias("home"))
+    lost = items.filter((F.col("area") == "header") & called).join(own, "lang").filter(U.page_url(F.col("url")) != F.col("home"))
+    state = pages.select(U.page_url(F.col("url")).alias("k"), "status", "final_url")
+    broken = items.withColumn("k", U.page_url(F.col("url"))).join(state, "k").filter((F.col("status") >= 400) | (U.page_url(F.col("final_url")) != F.col("k")))
+    a = finding(lost, "menu_home_target", "medium", None, None, F.concat_ws(" ", "lang", "url"))
+    b = finding(broken, "menu_broken_target", "medium", None, None, F.concat_ws(" ", "lang", "url", F.col("status").cast("string")))
+    return a.unionByName(b)
+
+
+def breadcrumb_ignores_menu(items: DataFrame, crumbs: DataFrame, share: float = 0.5, least: int = 3) -> DataFrame:
+    """items (key, parent) of submenus, crumbs (page_id, key, steps: keys of the trail): a parent that most of its items' trails leave out."""
+    rows = items.filter("parent IS NOT NULL").join(crumbs, "key").groupBy("parent").agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.array_contains("steps", F.col("parent"))).alias("without"))
+    hit = rows.filter((F.col("without") >= least) & (F.col("without") >= share * F.col("all")))
+    return finding(hit, "breadcrumb_ignores_menu", "low", None, None, F.concat_ws(":", "parent", "without", "all"))
+
+
+# Fixed values of the rules: addresses that sites block on purpose.
+INTENDED_FOLDERS = ("cart", "checkout", "account", "login", "admin", "search", "kosar", "penztar", "fiok", "belepes", "wp-admin")
+INTENDED_PARAMETERS = ("sort", "order", "filter", "limit", "add-to-cart", "sid")
+SEARCH_BOTS = ("googlebot", "bingbot")
+
+
+def robots_blocked_links(links: DataFrame) -> DataFrame:
+    """links (to_page_id, to_url, pattern, allowed, indexable, position) by rule: blocked targets that search results should hold, high; in menus, medium; blocked on purpose, low."""
+    folders, query = F.split(F.lower(U.path(F.col("to_url"))), "/"), F.regexp_extract("to_url", r"\?([^#]*)", 1)
+    meant = F.arrays_overlap(folders, F.array(*map(F.lit, INTENDED_FOLDERS))) | F.exists(F.split(query, "&"), lambda p: F.regexp_replace(p, "=.*$", "").isin(*INTENDED_PARAMETERS))
+    rows = links.filter(~F.col("allowed")).withColumn("meant", meant).groupBy("pattern", "meant").agg(F.bool_or("indexable").alias("indexable"), F.bool_or(F.col("position") == "nav").alias("menu"), F.countDistinct("to_url").alias("targets"))
+    severity = F.when(F.col("meant"), "low").when(F.col("indexable"), "high").when(F.col("menu"), "medium").otherwise("low")
+    return finding(rows, "robots_blocked_link", severity, None, None, F.concat_ws(":", "pattern", "targets"))
+
+
+def robots_blocked_bots(rules: DataFrame) -> DataFrame:
+    """rules (host, agent, allow, pattern): bots shut out of a whole site; search engines high, others low."""
+    shut = rules.groupBy("host", "agent").agg(F.bool_or(~F.col("allow") & (F.col("pattern") == "/")).alias("shut"), F.bool_or(F.col("allow") & (F.col("pattern") == "/")).alias("open")).filter("shut AND NOT open")
+    return finding(shut, "robots_bot_blocked", F.when(F.col("agent").isin("*", *SEARCH_BOTS), "high").otherwise("low"), None, None, F.concat_ws(":", "host", "agent"))
+
+
 def numbered(parts: list[DataFrame]) -> DataFrame:
     """All findings in order of type, severity and what they are about, with ids from 1."""
     place = lambda values, c: F.coalesce(*(F.when(F.col(c) == v, i) for i, v in enumerate(values)))
