@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one call of an Arrow function works on, and bytes of text: bounds a Python worker's memory.
-SLICE_ROWS, SLICE_BYTES = 2000, 4_000_000
+SLICE_ROWS, SLICE_BYTES = 2000, 2_000_000
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -92,7 +92,7 @@ def as_bytes(col: pa.Array) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash; emptied when it grows over a bound, so memory stays bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

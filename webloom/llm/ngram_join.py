@@ -221,15 +221,15 @@ def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str
 
     def searched(batches):
         key, rows_ = None, []
-        for batch in batches:
+        for batch in slices(batches, "grams"):
             for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "own", "node", "copies", "grams")), strict=True):
                 if row[:3] != key:
                     if rows_:
-                        yield from links(key, rows_, percent)
+                        yield links(key, rows_, percent)
                     key, rows_ = row[:3], []
                 rows_.append(row[3:])
         if rows_:
-            yield from links(key, rows_, percent)
+            yield links(key, rows_, percent)
 
     found = saved(dealt.mapInArrow(searched, "node long, root long, links long"), "links")
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -258,7 +258,7 @@ def links(key: tuple, rows: list[tuple], percent: int):
         a, b = sorted((top(q), top(c)))
         up[b] = a
     have = [x for x in range(len(rows)) if degree[x]]
-    yield pa.RecordBatch.from_arrays([pa.array([rows[x][1] for x in have], pa.int64()), pa.array([rows[top(x)][1] for x in have], pa.int64()), pa.array([degree[x] for x in have], pa.int64())], names=["node", "root", "links"])
+    return pa.RecordBatch.from_arrays([pa.array([rows[x][1] for x in have], pa.int64()), pa.array([rows[top(x)][1] for x in have], pa.int64()), pa.array([degree[x] for x in have], pa.int64())], names=["node", "root", "links"])
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):
