@@ -186,9 +186,10 @@ def string_hashes(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """docs (id, fp, text) -> id, fp, start, n: n strings from start on that occur elsewhere too."""
     rows = docs.mapInArrow(found_contexts, "anchor long, c1 long, c2 long, id long, fp long, start long, n long")
-    same = Window.partitionBy("anchor")
-    known = rows.withColumn("seen", F.count(F.lit(1)).over(same)).withColumn("mixed", F.min("c1").over(same) < F.max("c1").over(same)).filter("seen > 1")
-    known = saved(known, "contexts")
+    rows = saved(rows, "contexts")
+    # Counted in each task first; the join back can be split where one anchor has very many contexts.
+    counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("seen"), (F.min("c1") < F.max("c1")).alias("mixed")).filter("seen > 1")
+    known = saved(rows.join(counts, "anchor"), "repeated")
     one = known.filter("mixed").groupBy("anchor", "c1", "c2").agg(F.min(F.struct("id", "fp", "start", "n")).alias("at"), (F.count(F.lit(1)) > 1).alias("several"), F.max("seen").alias("seen"))
     deals = F.ceil(F.col("seen") / MOST).cast("int")
     one = one.select("anchor", "c1", "c2", "at.*", "several", F.pmod(F.xxhash64("c1", "c2"), deals).cast("int").alias("salt"), (deals > 1).alias("split"))
