@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -25,9 +26,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(spark, name)
     with shuffle_files_end(spark):
         df.write.option("compression", "zstd").parquet(path)
+    forget(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of what is already written: it does so once the driver's garbage is collected, which may be long after the disk is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def shuffle_files_end(spark: SparkSession):
     """Shuffle files of the actions inside go when each action ends, not when the driver's garbage is collected."""

@@ -201,35 +201,31 @@ def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str
     blocks = sizes.groupBy("cell").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     members = sizes.join(blocks, "cell")
 
-    def listed(batches):
-        cache = WordHashes()
-        for batch in slices(batches):
-            sets = sets_of(as_bytes(batch.column("text")), n, cache)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "cell", "copies", "blocks")] + [pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "cell", "copies", "blocks", "grams"])
-
-    lists = docs.join(members, F.col("doc_id") == F.col("node")).select("node", "cell", "copies", "blocks", "text").mapInArrow(listed, "node long, cell long, copies long, blocks int, grams binary")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    # Texts travel, not their n-grams, which don't compress and take twice the room.
+    texts = docs.join(members, F.col("doc_id") == F.col("node")).select("node", "cell", "copies", "blocks", "text")
     dealt = (
-        lists.withColumn("own", mine)
+        texts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
-        .select("cell", "i", "j", "own", "node", "copies", "grams")
+        .select("cell", "i", "j", "own", "node", "copies", "text")
         .repartition("cell", "i", "j")
-        .sortWithinPartitions("cell", "i", "j", "node", "grams")
+        .sortWithinPartitions("cell", "i", "j", "node", F.xxhash64("text"))
     )
 
     def searched(batches):
-        key, rows_ = None, []
-        for batch in slices(batches, "grams"):
-            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "own", "node", "copies", "grams")), strict=True):
+        """Rows come by cell and pair of blocks."""
+        cache, key, held = WordHashes(), None, []
+        for batch in slices(batches):
+            sets = sets_of(as_bytes(batch.column("text")), n, cache)
+            for row, own in zip(zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "own", "node", "copies")), strict=True), sets, strict=True):
                 if row[:3] != key:
-                    if rows_:
-                        yield links(key, rows_, percent)
-                    key, rows_ = row[:3], []
-                rows_.append(row[3:])
-        if rows_:
-            yield links(key, rows_, percent)
+                    if held:
+                        yield links(key, held, percent)
+                    key, held = row[:3], []
+                held.append((*row[3:], own.tobytes()))
+        if held:
+            yield links(key, held, percent)
 
     found = saved(dealt.mapInArrow(searched, "node long, root long, links long"), "links")
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
