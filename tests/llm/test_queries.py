@@ -125,10 +125,10 @@ def test_media(spark, table_dir, texts):
 
 
 def test_chunks_follow_content():
-    data = __import__("random").Random(1).randbytes(60_000)
+    data = __import__("random").Random(1).randbytes(300_000)
     (a,), (b,) = media.cuts([data]), media.cuts([b"shift" + data])
     assert b"".join(a) == data and all(len(c) <= media.MOST for c in a)
-    assert media.cuts([b"head" * 300, data])[1] == a
+    assert media.cuts([b"head" * 3000, data])[1] == a
     assert len(set(a) & set(b)) > len(a) // 2
 
 

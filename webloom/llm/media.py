@@ -12,6 +12,7 @@ doesn't come back as it was stored raises an error.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 
@@ -26,7 +27,7 @@ from ._common import as_bytes, crc_bytes, documents, saved, shuffle_files_end, s
 #: Bytes of a frame, and samples of its rows.
 FRAME, ROW = 576, 24
 #: Bytes of a chunk: at least, on average, at most. A cut needs the hash's upper bits to be 0.
-LEAST, AVERAGE, MOST = 512, 2048, 8192
+LEAST, AVERAGE, MOST = 2048, 8192, 32768
 GEAR = np.random.default_rng(9).integers(0, 1 << 32, 256, np.uint32)
 
 
@@ -77,7 +78,7 @@ def cuts(media: list[bytes]) -> list[list[bytes]]:
     return out
 
 
-LISTS = "doc_id long, n_bytes long, media_sha256 string, media_bytes long, chunks array<binary>"
+LISTS = "doc_id long, n_bytes long, media binary, media_bytes long, chunks array<binary>"
 
 
 def media_lists(docs: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def media_lists(docs: DataFrame) -> DataFrame:
             texts = as_bytes(batch.column("text"))
             media = [graymap(payload_of(t)) for t in texts]
             lists = [[hashlib.sha256(c).digest() for c in chunks] for chunks in cuts(media)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array([len(m) for m in media], pa.int64()), pa.array(lists, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "media_sha256", "media_bytes", "chunks"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(m).digest() for m in media]), pa.array([len(m) for m in media], pa.int64()), pa.array(lists, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "media", "media_bytes", "chunks"])
 
     return docs.mapInArrow(run, LISTS)
 
@@ -120,6 +121,9 @@ def store(docs: DataFrame) -> str:
     name, buckets = f"webloom_chunks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     with shuffle_files_end(spark):
         media_chunks(docs).repartition(buckets, "digest").dropDuplicates(["digest"]).write.option("compression", "none").bucketBy(buckets, "digest").saveAsTable(name)
+    # The table is written: nothing needs the shuffle's files any more, and Spark drops them once the driver forgets them.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return name
 
 
@@ -133,48 +137,51 @@ def feature_of(width: int, height: int, data: bytes) -> str:
     return f"{width}x{height} mean={total * 1000 // n} dev={deviation} step={step} tones={','.join(map(str, np.bincount((x >> 5).ravel(), minlength=8)))}"
 
 
-READ = "media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+READ = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
 
 
 def read_media(lists: DataFrame, chunk_table: str) -> DataFrame:
-    """Of each distinct medium in lists (media_sha256, chunks): what its stored bytes say."""
-    spark = lists.sparkSession
-    distinct = lists.groupBy("media_sha256").agg(F.min("chunks").alias("chunks"))
-    parts = distinct.select("media_sha256", F.posexplode("chunks").alias("place", "digest"))
-    found = parts.join(spark.table(chunk_table), "digest", "left").select("media_sha256", "place", "packed")
+    """Of each distinct medium in lists (media, chunks): what its stored bytes say. A medium of one chunk is whole once the chunk is found, so only the others are brought together again."""
+    stored = lists.sparkSession.table(chunk_table)
+    distinct = lists.groupBy("media").agg(F.min("chunks").alias("chunks"))
+    one = distinct.filter(F.size("chunks") == 1).select("media", F.lit(0).alias("place"), F.element_at("chunks", 1).alias("digest"))
+    more = distinct.filter(F.size("chunks") > 1).select("media", F.posexplode("chunks").alias("place", "digest"))
+    found = [df.join(stored, "digest", "left").select("media", "place", "packed") for df in (one, more)]
 
     def run(batches):
         """Rows come by medium and place."""
         unpack, now, held = zstandard.ZstdDecompressor(), None, []
         for batch in batches:
             out = []
-            for key, packed in zip(batch.column("media_sha256").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            for key, packed in zip(batch.column("media").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 if key != now:
                     if now is not None:
                         out.append(told(now, b"".join(held)))
                     now, held = key, []
                 if packed is None:
-                    raise ValueError(f"a chunk of medium {key} isn't in the store")
+                    raise ValueError(f"a chunk of medium {key.hex()} isn't in the store")
                 held.append(unpack.decompress(packed))
             yield rows(out)
         if now is not None:
             yield rows([told(now, b"".join(held))])
 
-    def told(key: str, media: bytes) -> tuple:
-        if hashlib.sha256(media).hexdigest() != key:
-            raise ValueError(f"medium {key} came back changed")
+    def told(key: bytes, media: bytes) -> tuple:
+        if hashlib.sha256(media).digest() != key:
+            raise ValueError(f"medium {key.hex()} came back changed")
         width, height, payload = samples(media)
         return key, len(payload), hashlib.sha256(payload).hexdigest(), crc_bytes(payload[-32:]), feature_of(width, height, payload)
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+        kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["media", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
-    return found.repartition("media_sha256").sortWithinPartitions("media_sha256", "place").mapInArrow(run, READ)
+    whole = found[0].mapInArrow(run, READ)
+    return whole.unionByName(found[1].repartition("media").sortWithinPartitions("media", "place").mapInArrow(run, READ))
 
 
 def op9_media_columns(spark, sf_dir):
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunk_table = store(docs)
     lists = saved(media_lists(docs), "media")
-    return lists.drop("chunks").join(read_media(lists, chunk_table), "media_sha256", "left").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    rows = lists.drop("chunks").join(read_media(lists, chunk_table), "media", "left")
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")
