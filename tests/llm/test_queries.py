@@ -180,6 +180,13 @@ def test_quality_held_out(spark):
     assert sum(g > b for g in good for b in bad) >= 0.95 * len(good) * len(bad)
 
 
+def test_statistics_read_whole_texts():
+    letters, numbers = b"word " * 2000, b"4711 " * 2000
+    at = len(quality._KINDS) + 11  # the share of alphabetic words
+    assert quality.statistics(letters + numbers)[at] == quality.statistics(numbers + letters)[at] == 0.5
+    assert quality.statistics(letters * 2 + numbers)[at] == 2 / 3
+
+
 def test_isotonic():
     import numpy as np
 

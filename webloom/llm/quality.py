@@ -47,7 +47,7 @@ def statistics(text: bytes) -> np.ndarray:
     distinct = len(set(words))
     out[len(_KINDS) :] = (
         np.log1p(n), np.log1p(len(words)), size.mean(), size.std(), np.log1p(size.max()), distinct / max(1, len(words)), np.log1p(len(lines)), np.log1p(n / len(lines)),
-        1 - len(set(lines)) / len(lines), -(share * np.log2(share)).sum(), count.max() / n, sum(w.isalpha() for w in words[:2000]) / max(1, len(words[:2000])),
+        1 - len(set(lines)) / len(lines), -(share * np.log2(share)).sum(), count.max() / n, sum(w.isalpha() for w in words) / max(1, len(words)),
         sum(w.isupper() for w in words) / max(1, len(words)), sum(w[-1] in b".!?" for w in words) / max(1, len(words)),
     )
     return out
