@@ -169,6 +169,19 @@ def test_languages_held_out(spark):
     assert right >= 0.9
 
 
+def test_unlearned_languages_and_random_letters_are_rejected(spark):
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    draw = random.Random(3)
+    noise = [(i, " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(draw.randint(5, 120))), "noise") for i in range(100)]
+    model = language_id.fit(docs.filter("lang <> 'de'"))
+    found = language_id.identify(docs.union(spark.createDataFrame(noise, docs.schema)), model)
+    share = {r.lang: r.part for r in found.selectExpr("lang", "int(rejected) AS r").groupBy("lang").agg({"r": "avg"}).toDF("lang", "part").collect()}
+    assert share.pop("de") >= 0.95 and share.pop("noise") >= 0.95
+    assert set(share) == {"en", "es", "fr"} and max(share.values()) <= 0.03
+
+
 def test_quality(spark, table_dir, texts):
     got = quality.op1_quality(spark, table_dir).collect()
     assert len(got) == len(texts) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)

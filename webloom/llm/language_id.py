@@ -28,8 +28,9 @@ DIMS = 4096
 #: Bound of the labelled rows, for each language, that centroids are fitted on.
 FIT_ROWS = 600
 CENTROIDS = 3
-#: A radius: this part of the cosine that only RADIUS_QUANTILE of the language's own rows fall below.
-RADIUS_SHARE, RADIUS_QUANTILE = 0.2, 0.01
+#: A radius lies midway between the cosine that only this share of the language's own rows fall below and the one that
+#: only this share of the other languages' rows exceed.
+RADIUS_QUANTILE = 0.01
 #: A-Z in lower case; what is neither an ASCII letter nor part of a longer character is a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -107,6 +108,12 @@ def clustered(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def gap(own: np.ndarray, foreign: np.ndarray) -> float:
+    """Midway between the lowest own cosines and the highest foreign ones; the lowest own ones where these don't lie apart or nothing is foreign."""
+    low = float(np.quantile(own, RADIUS_QUANTILE))
+    return min(low, (low + float(np.quantile(foreign, 1 - RADIUS_QUANTILE))) / 2) if len(foreign) else low
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> LanguageModel:
     """IDF over all labelled rows; centroids and radii from fit_rows of each language, those of the smallest id hash."""
     docs = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -134,7 +141,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         near = (own @ c.T).max(axis=1)
         found.append(c)
         langs += [name] * len(c)
-        radius += [RADIUS_SHARE * float(np.quantile(near, RADIUS_QUANTILE))] * len(c)
+        radius += [gap(near, (x[names != name] @ c.T).max(axis=1))] * len(c)
     return LanguageModel(idf, np.concatenate(found) if found else np.zeros((0, DIMS), np.float32), langs, np.array(radius))
 
 
