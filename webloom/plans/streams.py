@@ -18,6 +18,6 @@ def _(s, d):
     return I.drained(I.changed_pages(rows, "key", "props", "ts", "60 days")).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("daily_event_counts")
+@query("daily_event_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def _(s, d):
-    return I.drained(I.windowed_counts(events(s, d), "ts", ["event_type"]))
+    return I.drained(I.windowed_counts(events(s, d), "ts", ["event_type"]), "complete")

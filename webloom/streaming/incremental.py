@@ -36,9 +36,13 @@ def frontier(stream: DataFrame, path: str, key: str = "url", depth: str = "depth
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a bounded stream yields, as a table in the shared folder."""
+    """All that a bounded stream yields, as a table in the shared folder. In complete mode every batch writes the whole result anew, windows still open included."""
     spark = stream.sparkSession
     out = work_dir(spark, "stream")
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", work_dir(spark, "progress")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    if mode == "complete":
+        spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(out)
+        writer = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    else:
+        writer = stream.writeStream.format("parquet").option("path", out)
+    writer.outputMode(mode).option("checkpointLocation", work_dir(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
