@@ -89,6 +89,37 @@ def _(s, d):
     return click_depths(s, d).withColumn("depth", F.col("depth").cast("long"))
 
 
+#: All links: a chain's pages are as deep as their place in it. Customers in debt have no home, so their chains are unreachable.
+WHOLE = """o AS (SELECT o_orderkey, o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders),
+b AS (SELECT o_orderkey AS node, r - 1 AS depth FROM o JOIN customer ON c_custkey = o_custkey WHERE c_acctbal >= 0)"""
+
+
+def whole_depths(s, d):
+    first = table(s, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("node"))
+    homes = first.join(table(s, d, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select("node")
+    return G.depths(links(s, d).select("from_id", "to_id"), homes)
+
+
+@query("click_depths_whole", f"WITH {WHOLE} SELECT node, depth::BIGINT AS depth FROM b")
+def _(s, d):
+    return whole_depths(s, d).withColumn("depth", F.col("depth").cast("long"))
+
+
+@query(
+    "depth_histogram_whole",
+    f"""WITH {WHOLE} SELECT o_orderpriority, (count(*) FILTER (WHERE depth = 0))::BIGINT AS d_0, (count(*) FILTER (WHERE depth = 1))::BIGINT AS d_1, (count(*) FILTER (WHERE depth = 2))::BIGINT AS d_2,
+    (count(*) FILTER (WHERE depth = 3))::BIGINT AS d_3, (count(*) FILTER (WHERE depth >= 4))::BIGINT AS d_4_plus, (count(*) FILTER (WHERE depth IS NULL))::BIGINT AS d_unreachable FROM o LEFT JOIN b ON node = o_orderkey GROUP BY ALL""",
+)
+def _(s, d):
+    return A.depth_histogram(whole_depths(s, d), table(s, d, "orders").select(F.col("o_orderkey").alias("node"), "o_orderpriority"), ["o_orderpriority"])
+
+
+@query("orphan_pages_whole", f"WITH {WHOLE} SELECT 'orphan_pages' AS type, CASE WHEN o_orderpriority = '1-URGENT' THEN 'medium' ELSE 'low' END AS severity, o_orderkey AS page_id, NULL::BIGINT AS entity_id, 'unreachable' AS evidence FROM o LEFT JOIN b ON node = o_orderkey WHERE depth IS NULL")
+def whole_orphans(s, d):
+    pages = table(s, d, "orders").select(F.col("o_orderkey").alias("page_id"), "o_orderpriority")
+    return D.orphan_pages(pages, whole_depths(s, d), F.col("o_orderpriority") == "1-URGENT")
+
+
 @query(
     "depth_histogram",
     f"""WITH {DEPTHS} SELECT o_orderpriority, (count(*) FILTER (WHERE depth = 0))::BIGINT AS d_0, (count(*) FILTER (WHERE depth = 1))::BIGINT AS d_1, (count(*) FILTER (WHERE depth = 2))::BIGINT AS d_2,
@@ -137,6 +168,16 @@ def _(s, d):
     return G.ancestors(parents).withColumn("level", F.col("level").cast("long"))
 
 
+@query("merge_components_whole", f"WITH {WHOLE} SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS root FROM o QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1")
+def _(s, d):
+    return G.components(links(s, d).select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+
+
+@query("ancestor_closure_whole", f"WITH {WHOLE} SELECT x.o_orderkey AS node, y.o_orderkey AS ancestor, (x.r - y.r)::BIGINT AS level FROM o x JOIN o y ON y.o_custkey = x.o_custkey AND y.r < x.r")
+def _(s, d):
+    return G.ancestors(links(s, d).select(F.col("to_id").alias("node"), F.col("from_id").alias("parent"))).withColumn("level", F.col("level").cast("long"))
+
+
 @query("hubs", f"WITH g AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 97 AS b FROM lineitem WHERE l_suppkey <> l_partkey % 97) SELECT x.a AS hub, count(*)::BIGINT AS members, count(y.a)::BIGINT AS reciprocal FROM g x LEFT JOIN g y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(*) >= 2")
 def _(s, d):
     return G.hubs(table(s, d, "lineitem").select(F.col("l_suppkey").alias("from_id"), (F.col("l_partkey") % 97).alias("to_id")))
@@ -160,4 +201,4 @@ def _(s, d):
 
 @query("all_findings")
 def _(s, d):
-    return D.numbered([unclear(s, d), uncovered(s, d), orphans(s, d), D.canonical_issues(canonical(s, d))])
+    return D.numbered([unclear(s, d), uncovered(s, d), whole_orphans(s, d), D.canonical_issues(canonical(s, d))])
