@@ -7,6 +7,7 @@ at most.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +35,12 @@ def canonical_targets(pages: DataFrame, most: int = 64) -> DataFrame:
     return ends.select("page_id", F.when(final, F.col("target")).alias("target"), F.when(~final, "loop").when(F.col("target") != F.col("page_id"), "duplicate").alias("issue"))
 
 
-def depths(edges: DataFrame, homes: DataFrame, most: int = 1000) -> DataFrame:
+def depths(edges: DataFrame, homes: DataFrame) -> DataFrame:
     """edges (from_id, to_id), homes (node) -> node, depth: clicks from the nearest home; a frontier that meets only unseen nodes each round."""
     edges = edges.filter("from_id <> to_id").distinct()
     seen = saved(homes.select("node").distinct().withColumn("depth", F.lit(0)), "depths")
     front = seen
-    for depth in range(1, most + 1):
+    for depth in count(1):
         reached = front.join(edges, front.node == edges.from_id).select(F.col("to_id").alias("node")).distinct()
         front = saved(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "front")
         if front.isEmpty():
@@ -50,26 +51,28 @@ def depths(edges: DataFrame, homes: DataFrame, most: int = 1000) -> DataFrame:
     return seen
 
 
-def ancestors(parents: DataFrame, most: int = 64) -> DataFrame:
+def ancestors(parents: DataFrame) -> DataFrame:
     """parents (node, parent) -> node, ancestor, level, along single parents; a loop ends where it comes back."""
     known = parents.filter("parent IS NOT NULL AND parent <> node").groupBy("node").agg(F.max("parent").alias("parent"))
     paths = saved(known.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("level"), F.array("node", "parent").alias("path")), "ancestors")
     out, front = [paths], paths
-    for level in range(2, most + 1):
+    for level in count(2):
         up = known.toDF("ancestor", "above")
         front = front.join(up, "ancestor").filter(~F.array_contains("path", F.col("above"))).select("node", F.col("above").alias("ancestor"), F.lit(level).alias("level"), F.concat("path", F.array("above")).alias("path"))
         front = saved(front, "ancestors")
         if front.isEmpty():
             break
         out.append(front)
+        if level % 64 == 0:
+            out = [saved(reduce(DataFrame.unionByName, out), "ancestors")]
     return reduce(DataFrame.unionByName, out).drop("path")
 
 
-def components(pairs: DataFrame, most: int = 100) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """pairs (a, b) -> node, root: the smallest node each reaches. Labels fall along edges, then to their label's label."""
     both = saved(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "pairs")
     label = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "label")
-    for _ in range(most):
+    while True:
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("root").alias("m"))
         low = label.join(near, label.node == near.a, "left").select("node", "root", F.least("root", "m").alias("low"))
         jump = label.select(F.col("node").alias("low"), F.col("root").alias("deep"))
