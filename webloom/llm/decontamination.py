@@ -35,7 +35,7 @@ GAP = 4096
 #: A-Z in lower case; other ASCII than letters and digits is a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-SEGMENT = "segment string, doc_ids array<long>, lengths array<int>, terms binary, ends binary, positions binary"
+SEGMENT = "segment string, doc_ids array<long>, marks array<long>, lengths array<int>, terms binary, ends binary, positions binary"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -60,11 +60,12 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, text: str = "t
             order = np.argsort(term, kind="stable")
             name, count = np.unique(term, return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([size], pa.list_(pa.int32())), pa.array([name.tobytes()]), pa.array([np.cumsum(count).astype(np.int32).tobytes()]), pa.array([at[order].tobytes()])],
-                names=["segment", "doc_ids", "lengths", "terms", "ends", "positions"],
+                [pa.array([uuid.uuid4().hex]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([batch.column("mark").to_pylist()], pa.list_(pa.int64())), pa.array([size], pa.list_(pa.int32())), pa.array([name.tobytes()]), pa.array([np.cumsum(count).astype(np.int32).tobytes()]), pa.array([at[order].tobytes()])],
+                names=["segment", "doc_ids", "marks", "lengths", "terms", "ends", "positions"],
             )
 
-    return saved(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(segments, SEGMENT), "index")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    return saved(rows.mapInArrow(segments, SEGMENT), "index")
 
 
 class Phrases:
@@ -157,23 +158,26 @@ def matches(segment: tuple, phrases: Phrases, slop: int | None) -> Iterator[tupl
 
 
 def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = SLOP) -> DataFrame:
-    """A row for each document: doc_id, n_words, hits (merged word ranges of exact matches), items, near_items.
+    """A row for each document: doc_id, mark (a hash of its text), n_words, hits (merged word ranges of exact matches), items, near_items.
 
     items: (item_id, text). Exact matches also count as near ones.
     """
-    passes = []
+    found = None
     for phrases in chunks(items, window):
         phrases.rank(frequencies(index, phrases.vocabulary))
-        passes.append(_searched(index, phrases, slop))
-    if not passes:
-        passes.append(_searched(index, Phrases({}), slop))
-    if len(passes) == 1:
-        return passes[0].drop("segment", "row")
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionByName(more)
+        now = _searched(index, phrases, slop)
+        if found is None:
+            found, several = now, False
+            continue
+        # A pass that is written needs its windows no more, so the driver holds those of one or two passes.
+        found, several = saved(found, "pass") if not several else found, True
+        found = found.unionByName(saved(now, "pass"))
+    if found is None:
+        found, several = _searched(index, Phrases({}), slop), False
+    if not several:
+        return found.drop("segment", "row")
     # A document has a row from each pass, so groups are small.
-    found = found.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"))
+    found = found.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("mark").alias("mark"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"))
     return found.drop("segment", "row").withColumn("hits", _merge(F.col("hits")))
 
 
@@ -183,7 +187,7 @@ def _merge(ranges):
     return F.aggregate(F.array_sort(ranges), F.array().cast("array<struct<start:int,stop:int>>"), step)
 
 
-FOUND = "segment string, row int, doc_id long, n_words long, hits array<struct<start:int,stop:int>>, items array<string>, near_items array<string>"
+FOUND = "segment string, row int, doc_id long, mark long, n_words long, hits array<struct<start:int,stop:int>>, items array<string>, near_items array<string>"
 
 
 def _searched(index: DataFrame, phrases: Phrases, slop: int | None) -> DataFrame:
@@ -191,7 +195,7 @@ def _searched(index: DataFrame, phrases: Phrases, slop: int | None) -> DataFrame
 
     def found(batches):
         for batch in batches:
-            for key, ids, size, name, end, position in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, ids, marks, size, name, end, position in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 size = np.array(size)
                 start = np.cumsum(size + GAP) - size - GAP
                 change = np.zeros(int(start[-1] + size[-1]) + GAP, np.int32) if len(size) else np.zeros(0, np.int32)
@@ -212,11 +216,11 @@ def _searched(index: DataFrame, phrases: Phrases, slop: int | None) -> DataFrame
                     ranges[d].append({"start": b - int(start[d]), "stop": s - int(start[d])})
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * n), pa.array(range(n), pa.int32()), pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array([ranges[d] for d in range(n)], kind), pa.array([sorted(exact[d]) for d in range(n)], pa.list_(pa.string())), pa.array([sorted(exact[d] | near[d]) for d in range(n)], pa.list_(pa.string()))],
-                    names=["segment", "row", "doc_id", "n_words", "hits", "items", "near_items"],
+                    [pa.array([key] * n), pa.array(range(n), pa.int32()), pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(size, pa.int64()), pa.array([ranges[d] for d in range(n)], kind), pa.array([sorted(exact[d]) for d in range(n)], pa.list_(pa.string())), pa.array([sorted(exact[d] | near[d]) for d in range(n)], pa.list_(pa.string()))],
+                    names=["segment", "row", "doc_id", "mark", "n_words", "hits", "items", "near_items"],
                 )
 
-    return index.select("segment", "doc_ids", "lengths", "terms", "ends", "positions").mapInArrow(found, FOUND)
+    return index.select("segment", "doc_ids", "marks", "lengths", "terms", "ends", "positions").mapInArrow(found, FOUND)
 
 
 def test_terms(items: DataFrame) -> np.ndarray | None:
@@ -243,17 +247,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
 def op3_decontamination(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     found = decontaminate(documents(spark, sf_dir), items)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
 
 
 def keep_clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go."""
+    """Pipeline stage: contaminated documents go. Each row is judged by its own text, also where ids are null or repeat."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    gone = decontaminate(docs, items, slop=None).filter("contaminated").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = decontaminate(docs, items, slop=None).filter("contaminated").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("mark"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark"))
+    return rows.join(gone, same, "left_anti").select("row.*")
 
 
-#: Words of a window are joined by blanks, which no word has.
+#: Words of a window are joined by blanks, which no word has. Near: all terms within m + 1 places of one of the rarest.
 ORACLE_SQL = """
 WITH t AS (
   SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
@@ -271,8 +277,26 @@ WITH t AS (
   SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS place FROM h) GROUP BY doc_id
 ), f AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id
+), v AS (
+  SELECT win, unnest(string_split(win, ' ')) AS term, generate_subscripts(string_split(win, ' '), 1) AS k FROM (SELECT DISTINCT win FROM i)
+), a AS (
+  SELECT * FROM (SELECT id AS doc_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS place FROM w WHERE kind = 0) WHERE term IN (SELECT term FROM v)
+), b AS (
+  SELECT term, count(*) AS n FROM a GROUP BY term
+), q AS (
+  SELECT win, arg_min(term, n * 1000 + k) AS term, max(k) AS m, count(DISTINCT term) AS terms FROM v JOIN b USING (term) GROUP BY win
+  HAVING count(*) = (SELECT count(*) FROM v AS u WHERE u.win = v.win)
+), c AS (
+  SELECT q.win, q.m, q.terms, a.doc_id, a.place FROM q JOIN a ON a.term = q.term
+), z AS (
+  SELECT DISTINCT doc_id, win FROM (
+    SELECT c.doc_id, c.place, c.win FROM c JOIN (SELECT DISTINCT win, term FROM v) t ON t.win = c.win
+    JOIN a ON a.doc_id = c.doc_id AND a.term = t.term AND abs(a.place - c.place) <= c.m + 1
+    GROUP BY c.doc_id, c.place, c.win, c.terms HAVING count(DISTINCT t.term) = c.terms)
+), y AS (
+  SELECT z.doc_id, count(DISTINCT i.item_id) AS n_near FROM z JOIN i ON i.win = z.win GROUP BY z.doc_id
 )
 SELECT id AS doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM w LEFT JOIN p ON p.doc_id = id LEFT JOIN f ON f.doc_id = id WHERE kind = 0
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near_items
+FROM w LEFT JOIN p ON p.doc_id = id LEFT JOIN f ON f.doc_id = id LEFT JOIN y ON y.doc_id = id WHERE kind = 0
 """
