@@ -37,3 +37,21 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     fill = out.groupBy("sequence_id").agg({"length": "sum"}).collect()
     assert sum(r[1] != 1024 for r in fill) <= 1
+
+
+P = " ".join(f"word{i}" for i in range(40))
+Q = " ".join(f"other{i}" for i in range(40))
+SHARED = [(1, P), (1, P), (2, P), (3, Q + " x"), (3, P + " y"), (4, Q), (None, P + " z"), (None, "alone it stands"), (None, "alone it stands"), (5, ""), (5, ""), (None, None)]
+
+
+def test_one_of_each_group_where_ids_are_shared_or_null(spark):
+    docs = spark.createDataFrame(SHARED, "doc_id long, text string").repartition(3)
+    got = STAGES["ngram_jaccard_join"](spark, docs, None).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, P), (3, Q + " x"), (None, "alone it stands"), (5, ""), (5, ""), (None, None)], key=repr)
+
+
+def test_clean_rows_stay_where_ids_are_shared_or_null(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(P.split()[:20]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(SHARED, "doc_id long, text string").repartition(3)
+    got = STAGES["decontamination"](spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([r for r in SHARED if not (r[1] or "").startswith("word0 ")], key=repr)

@@ -22,12 +22,44 @@ SLICE_ROWS, SLICE_BYTES = 2000, 2_000_000
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, a lost executor costs nothing."""
+    return stored(df, name)[0]
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """saved(), and the table's folder."""
     spark = df.sparkSession
     path = work_dir(spark, name)
     with shuffle_files_end(spark):
         df.write.option("compression", "zstd").parquet(path)
     forget(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cleared(spark: SparkSession, path: str) -> None:
+    """Empties a stored table that nothing reads any more."""
+    spark.range(0).write.mode("overwrite").parquet(path)
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of the actions inside hold so many rows: for rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def splitting_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by on whose hot keys Spark can split.
+
+    Where a side is an aggregate by the same key, both would share its partitioning, and Spark splits only
+    what is dealt for the join: one more key, made of the others, has both sides dealt anew.
+    """
+    deal = free_name([*left.columns, *right.columns], "deal")
+    return left.withColumn(deal, F.hash(*on)).join(right.withColumn(deal, F.hash(*on)), [*on, deal], how).drop(deal)
 
 
 def forget(spark: SparkSession) -> None:

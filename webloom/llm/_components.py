@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import saved
+from ._common import saved, splitting_join
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) of longs -> (node, root): the smallest node that each node reaches; roots too.
+    """edges (a, b), of longs or binaries -> (node, root): the smallest node that each node reaches; roots too.
 
     Each round is two joins on a node, which Spark can split where one node has many edges, and ends in a
     table in the shared folder. Rounds are as many as the logarithm of the longest path, about.
@@ -19,9 +19,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = splitting_join(both, low, ["u"]).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = splitting_join(large, least, ["a"])
         edges = saved(small.select("a", F.col("m").alias("b")).union(small.filter("b <> m").select("b", "m")).distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:

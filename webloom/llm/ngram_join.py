@@ -1,11 +1,13 @@
 """Similarity self-join of documents by the Jaccard coefficient of their word n-grams, exact.
 
-Equal sets collapse first. Each distinct set is cut by hash into so many parts that two sets similar enough
-must agree in one whole part (a pigeonhole bound that depends on the sizes alone); sets that share a part's
-digest, and what those reach, form a cell. Inside a cell a T-occurrence search finds the links: an inverted
-list for each n-gram, the short lists of a document heap-merged, the long ones probed by binary search
-(DivideSkip), and documents kept that reach the overlap which the coefficient needs. A cell too large for a
-task is dealt into blocks, and each pair of blocks is searched: no list, partner or candidate is capped.
+Equal sets collapse first. N-grams are ordered by how many sets have them, counted over all: each slice of the
+texts sends its n-grams' keys to the shards of the key space and gets a class of rarity back for each. Two sets
+similar enough share one of the rarest n-grams of both (a prefix bound that loses nothing); n-grams of one set
+only can't be it. Sets that share one, and what those reach, form a cell. Inside a cell a T-occurrence search
+finds the links: an inverted list for each n-gram, the short lists of a document heap-merged, the long ones
+probed by binary search (DivideSkip), and documents kept that reach the overlap which the coefficient needs. A
+cell too large for a task is dealt into blocks, and each pair of blocks is searched: no list, partner or
+candidate is capped.
 
 Defined cases: a text with fewer words than n has its whole word sequence as one n-gram; a null text, an empty
 one and one of blanks have none and link with nothing. Equal sets link. Each row is judged by its own text,
@@ -16,15 +18,16 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._common import WordHashes, as_bytes, documents, grams, mixed, saved, signed, slices
+from ._common import WordHashes, as_bytes, batches_of, cleared, documents, grams, saved, signed, slices, splitting_join, stored
 from ._components import components
 
 N, PERCENT = 3, 90
@@ -32,6 +35,9 @@ N, PERCENT = 3, 90
 BLOCK = 1_000_000
 #: DivideSkip's weight of a probe's cost against a merge's, as published.
 MU = 0.0085
+#: Bytes of text of a slice, and of all texts for each shard of the n-grams' keys; bits that a key leaves out.
+SLICE_TEXT, SHARD_TEXT, KEY = 8_000_000, 64_000_000, np.uint64(16)
+LAST_ID = (1 << 63) - 1
 
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -45,51 +51,6 @@ def sets_of(texts: list[bytes], n: int, cache: WordHashes) -> list[np.ndarray]:
     return [shingle_set(cache.array(t.lower().split()), n) for t in texts]
 
 
-class Parts:
-    """How sets of each size are cut.
-
-    Class i has the sizes from low[i]; a pair lies in one class or in neighbours. For pairs whose larger set
-    is in class i the sets differ in at most k[i] n-grams, so of m[i] > k[i] parts at least m[i] - k[i] agree.
-    """
-
-    def __init__(self, percent: int):
-        self.percent, self.low, self.k, self.m = percent, [1], [], []
-
-    def upto(self, size: int) -> None:
-        while len(self.low) <= 2 or self.low[-2] <= size:
-            low = self.low[-1]
-            high = low * 100 // self.percent
-            k = 2 * high * (100 - self.percent) // (100 + self.percent)
-            smallest = self.low[-2] if len(self.low) > 1 else low
-            slack = 0
-            for _ in range(30 if k else 0):  # so many more parts that few sets leave m - k parts empty
-                empty = (k + 1 + slack) * math.exp(-smallest / (k + 1 + slack))
-                slack = min(math.ceil(empty + 3 * math.sqrt(empty)), k + 2)
-            self.k.append(k)
-            self.m.append(k + 1 + slack)
-            self.low.append(high + 1)
-
-    def digests(self, own: np.ndarray) -> np.ndarray:
-        """Of the parts of one set, for its own class and the next. Empty parts count only for sets that have m - k or more of them: a pair that agrees in empty parts alone has as many in both."""
-        if not len(own):
-            return np.zeros(0, np.uint64)
-        self.upto(len(own))
-        i = int(np.searchsorted(self.low, len(own), "right")) - 1
-        self.upto(self.low[i + 1])
-        out = []
-        for tag in (i, i + 1):
-            k, m = self.k[tag], self.m[tag]
-            if not k:
-                continue  # only equal sets
-            part = (mixed(own ^ np.uint64(tag * 7919 + 13)) % np.uint64(m)).astype(np.int64)
-            total = np.zeros(m, np.uint64)
-            np.add.at(total, part, mixed(own + np.uint64(tag)))
-            used = np.bincount(part, minlength=m) > 0
-            name = mixed(total + mixed(np.arange(m, dtype=np.uint64) + np.uint64(tag << 32)))
-            out.append(name if m - used.sum() >= m - k else name[used])
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
 def overlap(a: int, b: int, percent: int) -> int:
     """The n-grams that sets of these sizes must share."""
     return -(-percent * (a + b) // (100 + percent))
@@ -176,41 +137,175 @@ def probed(lists: np.ndarray, s: np.ndarray, e: np.ndarray, found: np.ndarray, c
     return found, count
 
 
-def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, component_id (smallest id reachable by links), n_links."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-
-    def cut(batches):
-        cache, parts = WordHashes(), Parts(percent)
+SETS = "slice string, shard int, doc_ids array<long>, marks array<long>, sizes array<long>, prints array<binary>, sets array<binary>, lengths array<int>, blob binary"
+
+
+def packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys of 48 bits and their counts: differences and counts by byte place, compressed."""
+    delta = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T[:6]
+    count = np.minimum(n, 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(delta.tobytes() + count.tobytes(), 1)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(10, -1)
+    delta = np.zeros((planes.shape[1], 8), np.uint8)
+    delta[:, :6] = planes[:6].T
+    return np.cumsum(delta.view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(planes[6:].T).view("<u4").ravel()
+
+
+def sliced(docs: DataFrame, n: int, shards: int) -> DataFrame:
+    """docs (doc_id, mark, text) in slices, a row of SETS for each: its rows, its distinct sets and a text of each; and a row for each shard of its n-grams' keys."""
+    names = [x.split()[0] for x in SETS.split(", ")]
+
+    def one(held, cache):
+        ids, marks = ([x for b in held for x in b.column(c).to_pylist()] for c in ("doc_id", "mark"))
+        texts = [x for b in held for x in as_bytes(b.column("text"))]
+        sets = sets_of(texts, n, cache)
+        prints = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+        first: dict[bytes, int] = {}
+        for row, (i, p) in enumerate(zip(ids, prints, strict=True)):
+            if p is not None and i is not None:
+                first.setdefault(p, row)
+        own, name = list(first.values()), uuid.uuid4().hex
+        blob = zstandard.compress(b"".join(texts[r] for r in own), 3)
+        yield record(names, SETS, [name, -1, ids, marks, [len(x) for x in sets], prints, list(first), [len(texts[r]) for r in own], blob])
+        if not own:
+            return
+        keys, count = np.unique(np.concatenate([sets[r] for r in own]) >> KEY, return_counts=True)
+        shard = ((keys >> np.uint64(16)) * np.uint64(shards)) >> np.uint64(32)
+        at = np.searchsorted(shard, np.arange(shards + 1))
+        for k in np.flatnonzero(np.diff(at)).tolist():
+            cut = slice(at[k], at[k + 1])
+            yield record(names, SETS, [name, k, None, None, None, None, None, None, packed(keys[cut], count[cut])])
+
+    def run(batches):
+        cache, held, size = WordHashes(), [], 0
         for batch in slices(batches):
-            sets = sets_of(as_bytes(batch.column("text")), n, cache)
-            digests = pa.array([signed(parts.digests(x)) for x in sets], pa.list_(pa.int64()))
-            prints = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints, pa.binary()), digests], names=["doc_id", "n", "fp", "parts"])
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= SLICE_TEXT:
+                yield from one(held, cache)
+                held, size = [], 0
+        if held:
+            yield from one(held, cache)
+
+    return docs.mapInArrow(run, SETS)
+
+
+def record(names: list[str], schema: str, row: list) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[x.split()[1]]) for v, x in zip(row, schema.split(", "), strict=True)], names=names)
+
+
+def rarities(keys: DataFrame, shards: int) -> DataFrame:
+    """keys (slice, shard, blob) -> the same with a class for each key: 0 where one set of all has it, else the more the more sets have it."""
+
+    def answered(rows):
+        parts = [unpacked(blob) for _, _, blob in rows]
+        _, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([n for _, n in parts]))
+        rank = np.where(total < 2, 0, np.minimum(255, 1 + np.floor(4 * np.log2(np.maximum(total, 1))))).astype(np.uint8)[back]
+        at = 0
+        for (name, shard, _), (k, _) in zip(rows, parts, strict=True):
+            yield record(["slice", "shard", "blob"], "slice string, shard int, blob binary", [name, shard, zstandard.compress(rank[at : at + len(k)].tobytes(), 1)])
+            at += len(k)
+
+    def run(batches):
+        """Rows come by shard."""
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("slice", "shard", "blob")), strict=True):
+                if held and held[-1][1] != row[1]:
+                    yield from answered(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from answered(held)
 
-    rows = saved(docs.mapInArrow(cut, "doc_id long, n long, fp binary, parts array<long>"), "parts")
+    return keys.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "slice string, shard int, blob binary")
+
+
+def prefixes(sets: DataFrame, ranks: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of each set that may have a partner: fp, n, grams (of its prefix, without those that no other set has) and a text.
+
+    Similar sets share at least percent of either one's n-grams, so they share one of those that come first in
+    both, by rarity, when the last of so many but one are left out.
+    """
+
+    def chosen(header, found, cache):
+        prints, lengths, blob = header
+        data, texts, at = zstandard.decompress(blob), [], 0
+        for size in lengths:
+            texts.append(data[at : at + size])
+            at += size
+        own = sets_of(texts, n, cache)
+        keys = np.unique(np.concatenate(own) >> KEY)
+        rank = np.frombuffer(b"".join(found), np.uint8)
+        if len(rank) != len(keys):
+            raise ValueError("the slice's n-grams aren't those that were counted")
+        out = []
+        for fp, text, x in zip(prints, texts, own, strict=True):
+            r = rank[np.searchsorted(keys, x >> KEY)]
+            most = len(x) - -(-percent * len(x) // 100) + 1 - int((r == 0).sum())
+            if most > 0:
+                shared = x[r > 0]
+                out.append((fp, len(x), signed(shared[np.lexsort((shared, r[r > 0]))[:most]]), text))
+        for k in range(0, len(out), 500):
+            part = out[k : k + 500]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.binary()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.list_(pa.int64())), pa.array([x[3] for x in part], pa.binary())], names=["fp", "n", "grams", "text"])
+
+    def run(batches):
+        """Rows come by slice: its sets, then its n-grams' classes by shard."""
+        cache, header, found = WordHashes(), None, []
+        for batch in batches:
+            for shard, prints, lengths, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "sets", "lengths", "blob")), strict=True):
+                if shard < 0:
+                    if header and header[0]:
+                        yield from chosen(header, found, cache)
+                    header, found = (prints, lengths, blob), []
+                else:
+                    found.append(zstandard.decompress(blob))
+        if header and header[0]:
+            yield from chosen(header, found, cache)
+
+    both = sets.select("slice", "shard", "sets", "lengths", "blob").unionByName(ranks, allowMissingColumns=True)
+    return both.repartition("slice").sortWithinPartitions("slice", "shard").mapInArrow(run, "fp binary, n long, grams array<long>, text binary")
+
+
+def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """docs (doc_id, mark, text) -> doc_id, mark, n, fp (a set's print, null without words), root (of the set's links, a print), least (smallest id that they reach), n_links."""
+    spark = docs.sparkSession
+    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bytes_ // SHARD_TEXT + 1)
+    cut, cut_path = stored(sliced(docs, n, shards), "slices")
+    header = cut.filter("shard < 0")
+    rows = saved(header.select(F.explode(F.arrays_zip("doc_ids", "marks", "sizes", "prints")).alias("x")).select(F.col("x.doc_ids").alias("doc_id"), F.col("x.marks").alias("mark"), F.col("x.sizes").alias("n"), F.col("x.prints").alias("fp")), "rows")
     known = rows.filter(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
-    classes = known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"))
-    first = known.groupBy("fp").agg(F.min_by("parts", "doc_id").alias("parts"), F.min("doc_id").alias("rep"))
-    # A document holds a digest once, so even one that all documents share is a small part of all rows.
-    postings = first.select("rep", F.explode("parts").alias("part"))
-    leader = F.min("rep").over(Window.partitionBy("part"))
-    near = postings.withColumn("leader", leader).filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
-    cells = saved(components(near).toDF("node", "cell"), "cells")
-    sizes = cells.join(classes.select(F.col("rep").alias("node"), "n", "copies"), "node")
-    blocks = sizes.groupBy("cell").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    members = sizes.join(blocks, "cell")
-
-    # Texts travel, not their n-grams, which don't compress and take twice the room.
-    texts = docs.join(members, F.col("doc_id") == F.col("node")).select("node", "cell", "copies", "blocks", "text")
+    classes = known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+
+    ranks = saved(rarities(cut.filter("shard >= 0").select("slice", "shard", "blob"), shards), "ranks")
+    with batches_of(spark, 64):
+        alive = saved(prefixes(header, ranks, n, percent), "prefixes")
+    cleared(spark, cut_path)
+    # Equal sets of other slices have the same prefix: each says once which set is the first with an n-gram.
+    postings = alive.select("fp", F.explode("grams").alias("gram"))
+    first = postings.groupBy("gram").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).filter("first <> last").select("gram", "first")
+    near = splitting_join(postings, first, ["gram"]).filter("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    cells = saved(components(near).toDF("fp", "cell"), "cells")
+
+    members = splitting_join(cells, classes, ["fp"])
+    texts = alive.groupBy("fp").agg(F.first("n").alias("n"), F.first("text").alias("text")).join(members, "fp")
+    blocks = splitting_join(cells, alive.groupBy("fp").agg(F.first("n").alias("n")), ["fp"]).groupBy("cell").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     dealt = (
-        texts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        splitting_join(texts, blocks, ["cell"])
+        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
-        .select("cell", "i", "j", "own", "node", "copies", "text")
+        .select("cell", "i", "j", "own", "fp", "copies", "text")
         .repartition("cell", "i", "j")
-        .sortWithinPartitions("cell", "i", "j", "node", F.xxhash64("text"))
+        .sortWithinPartitions("cell", "i", "j", "fp")
     )
 
     def searched(batches):
@@ -218,27 +313,33 @@ def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str
         cache, key, held = WordHashes(), None, []
         for batch in slices(batches):
             sets = sets_of(as_bytes(batch.column("text")), n, cache)
-            for row, own in zip(zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "own", "node", "copies")), strict=True), sets, strict=True):
+            for row, own in zip(zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "own", "fp", "copies")), strict=True), sets, strict=True):
                 if row[:3] != key:
                     if held:
                         yield links(key, held, percent)
                     key, held = row[:3], []
-                held.append((*row[3:], own.tobytes()))
+                held.append((*row[3:], own))
         if held:
             yield links(key, held, percent)
 
-    found = saved(dealt.mapInArrow(searched, "node long, root long, links long"), "links")
-    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    degree = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("fp", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return rows.select("doc_id", "n", "fp").join(named, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    found = saved(dealt.mapInArrow(searched, "fp binary, root binary, links long"), "links")
+    roots = saved(components(found.select(F.col("fp").alias("a"), F.col("root").alias("b"))).toDF("fp", "root"), "roots")
+    least = splitting_join(roots, classes, ["fp"]).groupBy("root").agg(F.min("rep").alias("least"))
+    degree = found.groupBy("fp").agg(F.sum("links").alias("links"))
+    named = classes.join(splitting_join(roots, least, ["root"]), "fp", "left").join(degree, "fp", "left")
+    named = named.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "rep").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return splitting_join(rows, named, ["fp"], "left").select("doc_id", "mark", "n", "fp", "root", "least", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """A row for each row of docs: doc_id, n_shingles, component_id (smallest id reachable by links), n_links."""
+    found = linked(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("mark"), F.col(text).alias("text")), n, percent, block)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"), "n_links")
 
 
 def links(key: tuple, rows: list[tuple], percent: int):
-    """A row for each document of the group that has a link: a root that its links reach, and their number."""
-    rows = [r for x, r in enumerate(rows) if not x or r != rows[x - 1]]
-    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    """A row for each set of the group (own block, fp, copies, n-grams) that has a link: a set that its links reach, and how many documents they lead to."""
+    sets = [r[3] for r in rows]
     cross = np.array([r[0] for r in rows]) if key[1] != key[2] else None
     up, degree = list(range(len(rows))), [0] * len(rows)
 
@@ -254,7 +355,7 @@ def links(key: tuple, rows: list[tuple], percent: int):
         a, b = sorted((top(q), top(c)))
         up[b] = a
     have = [x for x in range(len(rows)) if degree[x]]
-    return pa.RecordBatch.from_arrays([pa.array([rows[x][1] for x in have], pa.int64()), pa.array([rows[top(x)][1] for x in have], pa.int64()), pa.array([degree[x] for x in have], pa.int64())], names=["node", "root", "links"])
+    return pa.RecordBatch.from_arrays([pa.array([rows[x][1] for x in have], pa.binary()), pa.array([rows[top(x)][1] for x in have], pa.binary()), pa.array([degree[x] for x in have], pa.int64())], names=["fp", "root", "links"])
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):
@@ -262,10 +363,24 @@ def op2_ngram_jaccard_join(spark, sf_dir):
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of near duplicates (five words, 0.8 or more) the smallest id stays; texts without words stay."""
-    found = jaccard_join(docs, n=5, percent=80)
-    gone = found.filter("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of each group of near duplicates (five words, 0.8 or more) one row stays, that of the smallest id; rows without words stay.
+
+    Each row is judged by its own text. A null id is the largest; rows of a group that share its smallest id go
+    by a hash of their text, and of those equal in both any one stays.
+    """
+    mark = F.xxhash64("text")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    found = saved(linked(docs.select(key.alias("doc_id"), mark.alias("mark"), "text"), 5, 80), "found")
+    row = F.struct("doc_id", "mark")
+    kept = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(row).alias("kept"))
+    # Rows of one id and mark are of one set, so they have one root.
+    each = found.filter("root IS NOT NULL").groupBy("doc_id", "mark").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("rows"))
+    judged = splitting_join(each, kept, ["root"]).select("doc_id", "mark", F.when(row == F.col("kept"), F.when(F.col("rows") > 1, "several").otherwise("one")).otherwise("gone").alias("fate"))
+    judged = judged.filter("fate <> 'one'").toDF("key_", "mark_", "fate_")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key_"), mark.alias("mark_"))
+    whole = splitting_join(whole, judged, ["key_", "mark_"], "left")
+    once = whole.filter("fate_ = 'several'").groupBy("key_", "mark_").agg(F.first("row").alias("row"))
+    return whole.filter("fate_ IS NULL").select("row.*").unionByName(once.select("row.*"))
 
 
 ORACLE_SQL = """
