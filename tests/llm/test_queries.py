@@ -3,6 +3,7 @@
 import zlib
 
 import brute
+import numpy as np
 import pytest
 from webloom.llm import chat, decontamination, language_id, line_dedup, media, ngram_join, packing, quality, registry, substring_dedup, suffix_dedup
 
@@ -114,6 +115,27 @@ def test_packing(spark, table_dir, texts, monkeypatch):
     assert sorted(x for x in whole if x[0] is not None) == want and len(whole) == len(texts)
 
 
+def test_tokens_of_safe_texts_are_the_tokenizer_s():
+    """The cut into pieces against the library, on random strings of all kinds of characters."""
+    import random
+
+    draw, enc = random.Random(4), packing.encoder(packing.tokenizer_path())
+    kinds = ["abz'", "  \t\n", "019²", "-.,;'s", "éßÿĀ", "A 'll 're"]
+    for _ in range(3000):
+        text = "".join(draw.choice(draw.choice(kinds)) for _ in range(draw.randint(0, 40)))
+        assert np.frombuffer(enc.encode(text), enc.kind).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_length_has_no_place_on_the_curve(spark):
+    """Documents of one topic lie together, however long they are."""
+    topics = ["apple river stone window", "kernel thread buffer packet", "tenor violin chord rhythm", "salt pepper onion garlic"]
+    rows = [(100 * t + k, " ".join([topic] * (3 + 40 * (k % 5)))) for t, topic in enumerate(topics) for k in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pieces = packing.pack(docs, packing.tokenizer_path()).filter("start = 0").orderBy("sequence_id", "offset").collect()
+    order = [r.doc_id // 100 for r in pieces]
+    assert sum(a != b for a, b in zip(order, order[1:], strict=False)) <= 8
+
+
 def test_media(spark, table_dir, texts):
     got = media.op9_media_columns(spark, table_dir).collect()
     assert len(got) == len(texts)
@@ -124,14 +146,35 @@ def test_media(spark, table_dir, texts):
         assert any((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) == want for r in got if r.doc_id == i)
 
 
+def test_feature():
+    """The feature against plain sums over rows of 24 samples."""
+    payload = b"some text \xc3\xa9 of no great length".ljust(576, b"\xff")
+    grid = [payload[k : k + 24] for k in range(0, 576, 24)]
+    mean = sum(payload) / 576
+    tones = [sum(b // 32 == k for b in payload) for k in range(8)]
+    step = sum(abs(a - b) for row in grid for a, b in zip(row, row[1:], strict=False)) * 1000 // (24 * 23)
+    deviation = round((sum(b * b for b in payload) / 576 - mean**2) ** 0.5 * 1000)
+    assert media.feature_of(24, 24, payload) == f"24x24 mean={sum(payload) * 1000 // 576} dev={deviation} step={step} tones={','.join(map(str, tones))}"
+
+
 def test_chunks_follow_content():
-    data = __import__("random").Random(1).randbytes(300_000)
+    data = __import__("random").Random(1).randbytes(60_000)
     (a,), (b,) = media.cuts([data]), media.cuts([b"shift" + data])
     assert b"".join(a) == data and all(len(c) <= media.MOST for c in a)
-    assert media.cuts([b"head" * 3000, data])[1] == a
+    assert media.cuts([b"head" * 300, data])[1] == a
     assert len(set(a) & set(b)) > len(a) // 2
 
 
+def test_repeated_chunks_are_stored_once(spark):
+    data = "".join(__import__("random").Random(2).choices("abcdefgh ", k=60_000))
+    docs = spark.createDataFrame([(k, head + data) for k, head in enumerate(["", "", "a head before it ", "another one "] * 5)], "doc_id long, text string").repartition(4)
+    table = spark.table(media.store(docs))
+    lists = media.media_lists(docs).collect()
+    used = {bytes(c) for r in lists for c in r.chunks}
+    assert sorted(bytes(r.digest) for r in table.collect()) == sorted(used)
+    assert len(used) < len(lists[0].chunks) + 12 and len(lists[0].chunks) > 12
+
+
 def test_chats(spark, table_dir):
     got = {r.conv_id: r for r in chat.op8_chat_format(spark, table_dir).collect()}
     assert got[-7].loss_chars == len(chat.HOSTILE) and got[-7].loss_sha256 == brute.sha(chat.HOSTILE)
@@ -201,6 +244,4 @@ def test_statistics_read_whole_texts():
 
 
 def test_isotonic():
-    import numpy as np
-
     assert quality.pooled(np.array([0, 2, 0, 1, 3]), np.array([1, 2, 0, 2, 3])).tolist() == [0, 0.75, 0.75, 0.75, 1]

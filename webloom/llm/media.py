@@ -12,7 +12,6 @@ doesn't come back as it was stored raises an error.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 
@@ -22,12 +21,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, crc_bytes, documents, saved, shuffle_files_end, slices
+from ._common import as_bytes, crc_bytes, documents, forget, saved, shuffle_files_end, slices
 
 #: Bytes of a frame, and samples of its rows.
 FRAME, ROW = 576, 24
 #: Bytes of a chunk: at least, on average, at most. A cut needs the hash's upper bits to be 0.
-LEAST, AVERAGE, MOST = 2048, 8192, 32768
+LEAST, AVERAGE, MOST = 512, 2048, 8192
+#: Chunks that the store's dictionary is made of, at most, and its bytes; how hard chunks are compressed.
+SAMPLE, DICTIONARY, LEVEL = 400, 1 << 18, 9
+#: Rounds in which media are put together again: each moves its share of the stored bytes.
+ROUNDS = 2
 GEAR = np.random.default_rng(9).integers(0, 1 << 32, 256, np.uint32)
 
 
@@ -94,11 +97,29 @@ def media_lists(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, LISTS)
 
 
-def media_chunks(docs: DataFrame) -> DataFrame:
-    """docs (text) -> digest, packed: each task's distinct chunks, compressed."""
+def dictionary(docs: DataFrame) -> bytes:
+    """What chunks of docs (text) look like, which helps to compress short ones: of some texts, chosen by hash, a chunk each."""
+    n = docs.count()
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < (1 << 31) * min(1.0, 4 * SAMPLE / max(1, n)))
 
     def run(batches):
-        seen, pack = set(), zstandard.ZstdCompressor(level=3)
+        for batch in slices(batches):
+            least = [min((hashlib.sha256(c).digest(), c) for c in chunks) for chunks in cuts([graymap(payload_of(t)) for t in as_bytes(batch.column("text"))])]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in least], pa.binary()), pa.array([c for _, c in least], pa.binary())], names=["digest", "chunk"])
+
+    rows = some.mapInArrow(run, "digest binary, chunk binary").orderBy("digest").limit(SAMPLE).collect()
+    return b"".join(dict.fromkeys(bytes(r.chunk) for r in rows))[:DICTIONARY]
+
+
+def known_bytes(data: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(data) >= 8 else None
+
+
+def media_chunks(docs: DataFrame, about: bytes = b"") -> DataFrame:
+    """docs (text) -> digest, packed: each task's distinct chunks, compressed by a dictionary of what they are about."""
+
+    def run(batches):
+        seen, pack = set(), zstandard.ZstdCompressor(level=LEVEL, dict_data=known_bytes(about))
         for batch in slices(batches):
             digests, packed = [], []
             for chunks in cuts([graymap(payload_of(t)) for t in as_bytes(batch.column("text"))]):
@@ -116,14 +137,14 @@ def media_chunks(docs: DataFrame) -> DataFrame:
 
 
 def store(docs: DataFrame) -> str:
-    """The chunk store of docs (text): the name of a table with a row for each digest, bucketed by it."""
+    """The chunk store of docs (text): the name of a table with a row for each digest, bucketed by it; its dictionary is the one row of the table beside it."""
     spark = docs.sparkSession
     name, buckets = f"webloom_chunks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    about = dictionary(docs)
+    spark.createDataFrame([(bytearray(about),)], "dictionary binary").coalesce(1).write.saveAsTable(f"{name}_dictionary")
     with shuffle_files_end(spark):
-        media_chunks(docs).repartition(buckets, "digest").dropDuplicates(["digest"]).write.option("compression", "none").bucketBy(buckets, "digest").saveAsTable(name)
-    # The table is written: nothing needs the shuffle's files any more, and Spark drops them once the driver forgets them.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        media_chunks(docs, about).repartition(buckets, "digest").dropDuplicates(["digest"]).write.option("compression", "none").bucketBy(buckets, "digest").saveAsTable(name)
+    forget(spark)
     return name
 
 
@@ -141,16 +162,20 @@ READ = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long
 
 
 def read_media(lists: DataFrame, chunk_table: str) -> DataFrame:
-    """Of each distinct medium in lists (media, chunks): what its stored bytes say. A medium of one chunk is whole once the chunk is found, so only the others are brought together again."""
-    stored = lists.sparkSession.table(chunk_table)
+    """Of each distinct medium in lists (media, chunks): what its stored bytes say. A medium of one chunk is whole once the chunk is found, so only the others are brought together again, a share of them in each round."""
+    spark = lists.sparkSession
+    stored_chunks = spark.table(chunk_table)
+    about = bytes(spark.table(f"{chunk_table}_dictionary").first()[0])
     distinct = lists.groupBy("media").agg(F.min("chunks").alias("chunks"))
     one = distinct.filter(F.size("chunks") == 1).select("media", F.lit(0).alias("place"), F.element_at("chunks", 1).alias("digest"))
-    more = distinct.filter(F.size("chunks") > 1).select("media", F.posexplode("chunks").alias("place", "digest"))
-    found = [df.join(stored, "digest", "left").select("media", "place", "packed") for df in (one, more)]
+    more = distinct.filter(F.size("chunks") > 1)
+
+    def found(df: DataFrame) -> DataFrame:
+        return df.join(stored_chunks, "digest", "left").select("media", "place", "packed")
 
     def run(batches):
         """Rows come by medium and place."""
-        unpack, now, held = zstandard.ZstdDecompressor(), None, []
+        unpack, now, held = zstandard.ZstdDecompressor(dict_data=known_bytes(about)), None, []
         for batch in batches:
             out = []
             for key, packed in zip(batch.column("media").to_pylist(), batch.column("packed").to_pylist(), strict=True):
@@ -175,8 +200,11 @@ def read_media(lists: DataFrame, chunk_table: str) -> DataFrame:
         kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["media", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
-    whole = found[0].mapInArrow(run, READ)
-    return whole.unionByName(found[1].repartition("media").sortWithinPartitions("media", "place").mapInArrow(run, READ))
+    out = found(one).mapInArrow(run, READ)
+    for k in range(ROUNDS):
+        share = more.filter(F.pmod(F.xxhash64("media"), F.lit(ROUNDS)) == k).select("media", F.posexplode("chunks").alias("place", "digest"))
+        out = out.unionByName(saved(found(share).repartition("media").sortWithinPartitions("media", "place").mapInArrow(run, READ), "media-read"))
+    return out
 
 
 def op9_media_columns(spark, sf_dir):
