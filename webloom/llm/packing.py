@@ -1,9 +1,11 @@
 """Packing of documents into token sequences along a space-filling curve.
 
-Each document's token counts, hashed to a fixed random vector each, are projected to a few dimensions; the Hilbert index
-orders the documents, so that neighbours along the curve are alike. The index, with a hash of the id below it,
-is range-partitioned by quantiles, sorted, and the tokens are cut into sequences along that order: a document's
-place is the sum of tokens before it, from the totals of the ranges. Only the last sequence isn't full.
+Each document's token counts, hashed to a fixed random vector each, are projected to a few dimensions. Less the
+corpus' mean and scaled to length 1, so that only what a document is about counts, not how long it is, they are cut
+by the corpus' quantiles in each dimension; the Hilbert index of these orders the documents, so that neighbours along
+the curve are alike. The index, with a hash of the id below it, is range-partitioned into ranges of about as many
+tokens each, sorted, and the tokens are cut into sequences along that order: a document's place is the sum of tokens
+before it, from the totals of the ranges. Only the last sequence isn't full.
 
 Defined cases: a null or empty text is the end token alone. Equal texts are neighbours; ties go by id, then
 token count. Repeated rows are packed as often as they stand there. An empty table gives no piece. Other
@@ -28,8 +30,10 @@ END = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Dimensions of the curve, and bits of each.
 DIMS, BITS = 4, 8
-#: Documents of one range, about; ranges at most, as each is a branch of an expression and a total on the driver.
-RANGE_ROWS, MOST_RANGES = 5_000, 2_000
+#: Documents of one range, about, were all as long; ranges at most, as each is a bound and a total on the driver.
+RANGE_ROWS, MOST_RANGES = 5_000, 100_000
+#: Rows that a range's bounds are taken from: a document stands there once for each such share of a range that it has tokens for.
+WEIGHTS = 20
 #: Characters of which the tokenizer's own pattern is known to be SPLIT: others go through the tokenizer whole.
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 SAFE = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ]*\Z")
@@ -111,46 +115,82 @@ def token_vectors(size: int) -> np.ndarray:
     return np.random.default_rng(11).standard_normal((size, DIMS)).astype(np.float32)
 
 
-def coordinates(ids: np.ndarray, size: int) -> np.ndarray:
-    """The sum of the tokens' vectors, scaled by its deviation, in BITS bits."""
-    if not len(ids):
-        return np.zeros(DIMS, np.int64)
-    scaled = token_vectors(size)[ids].sum(axis=0) / np.sqrt(len(ids))
-    return np.clip(((scaled + 3) / 6 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
+def projected(ids: np.ndarray, size: int) -> np.ndarray:
+    """The sum of the tokens' vectors."""
+    return token_vectors(size)[ids].sum(axis=0, dtype=np.float64)
 
 
 def encoded(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, place (Hilbert index above a hash of the id), n, ids; stored."""
+    """doc_id, n, ids, v (the sum of the tokens' vectors); stored."""
 
     def run(batches):
         enc = encoder(tokenizer)
         size, end = enc.tokenizer.get_vocab_size(), np.array([END], enc.kind).tobytes()
         step = len(end)
         for batch in slices(batches):
-            texts = as_bytes(batch.column("text"))
-            ids = [enc.encode(t.decode()) + end for t in texts]
-            place = hilbert(np.array([coordinates(np.frombuffer(x, enc.kind), size) for x in ids]), BITS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(place), pa.array([len(x) // step for x in ids], pa.int64()), pa.array(ids)], names=["doc_id", "place", "n", "ids"])
+            ids = [enc.encode(t.decode()) + end for t in as_bytes(batch.column("text"))]
+            v = [projected(np.frombuffer(x, enc.kind), size) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // step for x in ids], pa.int64()), pa.array(ids), pa.array(v, pa.list_(pa.float64()))], names=["doc_id", "n", "ids", "v"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, place long, n long, ids binary")
-    low = F.pmod(F.xxhash64("doc_id"), F.lit((1 << 30) - 1))
-    return saved(rows.withColumn("place", F.shiftleft("place", 30) + low), "tokens")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary, v array<double>")
+    return saved(rows, "tokens")
+
+
+def directed(tokens: DataFrame) -> DataFrame:
+    """tokens with x: v for each token, less the corpus' mean, scaled to length 1."""
+    mean = tokens.agg(F.sum("n"), *(F.sum(F.col("v")[i]) for i in range(DIMS))).first()
+    x = [F.col("v")[i] / F.col("n") - (mean[1 + i] or 0.0) / (mean[0] or 1) for i in range(DIMS)]
+    length = F.greatest(F.sqrt(sum((c * c for c in x[1:]), x[0] * x[0])), F.lit(1e-12))
+    return tokens.withColumn("x", F.array(*(c / length for c in x))).drop("v")
+
+
+def placed(tokens: DataFrame) -> np.ndarray:
+    """The quantiles of x in each dimension, 2 ** BITS parts."""
+    parts = 1 << BITS
+    cuts = tokens.agg(*(F.percentile_approx(F.col("x")[i], [k / parts for k in range(1, parts)], 20 * parts) for i in range(DIMS))).first()
+    return np.array([c or [0.0] * (parts - 1) for c in cuts])
+
+
+def places(x: np.ndarray, doc_id: pa.Array, low: pa.Array, cuts: np.ndarray) -> np.ndarray:
+    """Hilbert index of each row's cell, above a hash of its id."""
+    cell = np.stack([np.searchsorted(cuts[i], x[:, i], "right") for i in range(DIMS)], axis=1)
+    return (hilbert(cell, BITS) << 30) + low.to_numpy()
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """A row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ids on demand."""
-    tokens = encoded(docs, tokenizer, text, doc_id)
-    ranges = min(MOST_RANGES, max(1, -(-tokens.count() // RANGE_ROWS)))
+    tokens = directed(encoded(docs, tokenizer, text, doc_id))
+    cuts = placed(tokens)
+    low = F.pmod(F.xxhash64("doc_id"), F.lit((1 << 30) - 1)).alias("low")
+    rows, total = tokens.agg(F.count(F.lit(1)), F.sum("n")).first()
+    ranges = min(MOST_RANGES, max(1, -(-rows // RANGE_ROWS)))
+
+    def place(batches, bounds=None):
+        for batch in batches:
+            x = np.array(batch.column("x").flatten().to_numpy(zero_copy_only=False)).reshape(-1, DIMS)
+            at = places(x, batch.column("doc_id"), batch.column("low"), cuts)
+            if bounds is None:
+                yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("n")], names=["place", "n"])
+            else:
+                part = np.searchsorted(bounds, at, "right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(at), *(batch.column(c) for c in ("doc_id", "n", "ids"))], names=["part", "place", "doc_id", "n", "ids"])
+
     bounds = []
     if ranges > 1:
-        bounds = sorted(set(tokens.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]))
-    # The range is found by halving over the bounds, of which there are as many as ranges.
-    part = F.lit(0)
-    if bounds:
-        part = range_of(F.col("place"), bounds)
-    tokens = tokens.withColumn("part", part.cast("int"))
+        share = max(1, total // (ranges * WEIGHTS))
+        weighed = tokens.select("doc_id", "x", "n", low).mapInArrow(place, "place long, n long").select("place", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / share))))
+        bounds = sorted(set(weighed.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]))
+    bounds = np.array(bounds, np.int64)
+
+    def parts(batches):
+        for batch in place(batches):
+            part = np.searchsorted(bounds, batch.column("place").to_numpy(), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column("n")], names=["part", "n"])
+
+    short = tokens.select("doc_id", "x", "n", low).mapInArrow(parts, "part int, n long")
+    tokens = tokens.select("doc_id", "x", "n", "ids", low).mapInArrow(lambda batches: place(batches, bounds), "part int, place long, doc_id long, n long, ids binary")
     # As many totals as ranges.
-    totals = {r.part: r.n for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    totals = {r.part: r.n for r in short.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     first, at = {}, 0
     for p in sorted(totals):
         first[p], at = at, at + totals[p]
@@ -177,18 +217,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, text: str = "tex
     return rows if with_ids else rows.drop("ids")
 
 
-def range_of(place, bounds: list[int]):
-    """How many of the sorted bounds are not above place: halving in nested conditions."""
-
-    def half(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(place < bounds[mid], half(low, mid)).otherwise(half(mid + 1, high))
-
-    return half(0, len(bounds))
-
-
 def op7_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), tokenizer_path())
 
