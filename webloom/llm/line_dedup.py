@@ -19,8 +19,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import documents, free_name, shuffle_files_end, work_dir
+from ._common import documents, free_name, shuffle_files_end, splitting_join, work_dir
 
 BLANK = " \t\n\x0b\f\r"
 MIN_DOCS, MIN_CHARS = 3, 20
@@ -89,31 +90,30 @@ class LineRuns:
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     """docs (id, text) with hs: each line's hash, null for short lines."""
     keys = F.transform(lines_of(F.col("text")), key_of)
-    return docs.withColumn("hs", F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.md5(k.cast("binary")))))
+    return docs.withColumn("hs", F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.unhex(F.md5(k.cast("binary"))))))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """docs with text cut down, n_lines (before) and n_dropped.
 
     Lines whose key (stripped, in lower case) has min_chars or more and stands in min_docs documents stay only
-    in the largest id that holds them.
+    in the largest id that holds them. Batches hold about as many rows each.
     """
     spark = docs.sparkSession
-    hashed = line_hashes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), min_chars)
-    low, high = docs.agg(F.min(doc_id), F.max(doc_id)).first()
-    width = max(1, ((high or 0) - (low or 0)) // batches + 1)
-    batch = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / width), F.lit(batches - 1)).cast("int").alias("batch")
+    bounds = docs.agg(F.percentile_approx(F.col(doc_id).cast("long"), [1 - (i + 1) / batches for i in range(batches - 1)])).first()[0] or []
+    batch = reduce(lambda later, i: F.when(F.col("doc_id") > bounds[i], i).otherwise(later), reversed(range(len(bounds))), F.lit(batches - 1)).cast("int").alias("batch")
     path = work_dir(spark, "lines")
-    # One row for each line hash of a document, its repeats gone.
-    hashed.select("doc_id", batch, F.explode(F.array_distinct(F.array_compact("hs"))).alias("h")).write.partitionBy("batch").parquet(path)
-    stored = spark.read.schema("doc_id long, h string, batch int").parquet(path)
+    # Lines are hashed once: the hashes of a row's lines in order, null for short ones.
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("fp", F.xxhash64("text"))
+    line_hashes(rows, min_chars).select("doc_id", "fp", "hs", batch).write.partitionBy("batch").parquet(path)
+    hashed = spark.read.schema(T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType()), T.StructField("hs", T.ArrayType(T.BinaryType())), T.StructField("batch", T.IntegerType())])).parquet(path)
     runs = LineRuns(spark, fanout)
     for b in range(batches):
-        runs.add(stored.filter(F.col("batch") == b))
+        own = hashed.filter(F.col("batch") == b)
+        runs.add(own.select("doc_id", F.explode(F.array_distinct(F.array_compact("hs"))).alias("h")))
+    lines = hashed.select("doc_id", "fp", F.posexplode("hs").alias("pos", "h")).filter(F.col("h").isNotNull())
     gone = (
-        hashed.select("doc_id", F.xxhash64("text").alias("fp"), F.posexplode("hs").alias("pos", "h"))
-        .filter(F.col("h").isNotNull())
-        .join(runs.repeated(min_docs), "h")
+        splitting_join(lines, runs.repeated(min_docs), ["h"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("doc_id").alias("gone_id"), "fp")  # rows that share an id but not a text stay apart
         .agg(F.collect_set("pos").alias("gone_pos"))
