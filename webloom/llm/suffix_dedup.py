@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import as_bytes, documents, mixed, saved, signed, slices
+from ._common import as_bytes, documents, mixed, saved, signed, slices, splitting_join
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 32
@@ -187,9 +187,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """docs (id, fp, text) -> id, fp, start, n: n strings from start on that occur elsewhere too."""
     rows = docs.mapInArrow(found_contexts, "anchor long, c1 long, c2 long, id long, fp long, start long, n long")
     rows = saved(rows, "contexts")
-    # Counted in each task first; the join back can be split where one anchor has very many contexts.
+    # Counted in each task first; the join back deals both sides anew, so Spark can split an anchor with very many contexts.
     counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("seen"), (F.min("c1") < F.max("c1")).alias("mixed")).filter("seen > 1")
-    known = saved(rows.join(counts, "anchor"), "repeated")
+    known = saved(splitting_join(rows, counts, ["anchor"]), "repeated")
     one = known.filter("mixed").groupBy("anchor", "c1", "c2").agg(F.min(F.struct("id", "fp", "start", "n")).alias("at"), (F.count(F.lit(1)) > 1).alias("several"), F.max("seen").alias("seen"))
     deals = F.ceil(F.col("seen") / MOST).cast("int")
     one = one.select("anchor", "c1", "c2", "at.*", "several", F.pmod(F.xxhash64("c1", "c2"), deals).cast("int").alias("salt"), (deals > 1).alias("split"))
@@ -202,7 +202,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     # Strings of split anchors: those that other tasks have too. Equal ones in the task of one are repeated there already.
     across = flags.filter("open").withColumn("tasks", several).filter("tasks > 1")
     marked = flags.filter("NOT open").select("anchor", "c1", "c2", "first", F.col("n").alias("run")).unionByName(across.select("anchor", "c1", "c2", "first", F.col("n").alias("run")))
-    partly = known.filter("mixed").select("anchor", "c1", "c2", "id", "fp", "start").join(marked, ["anchor", "c1", "c2"])
+    partly = known.filter("mixed").select("anchor", "c1", "c2", "id", "fp", "start")
+    partly = splitting_join(partly, marked, ["anchor", "c1", "c2"])
     return known.filter("NOT mixed").select("id", "fp", "start", "n").unionByName(partly.select("id", "fp", (F.col("start") + F.col("first")).alias("start"), F.col("run").alias("n")))
 
 
