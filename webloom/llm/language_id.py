@@ -115,12 +115,17 @@ def gap(own: np.ndarray, foreign: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> LanguageModel:
-    """IDF over all labelled rows; centroids and radii from fit_rows of each language, those of the smallest id hash."""
+    """IDF over all labelled rows; centroids and radii from fit_rows of each language, those of the smallest hash of id and text."""
     docs = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     have, n = document_frequencies(docs, "text")
     idf = (np.log((1 + n) / (1 + have)) + 0.1).astype(np.float32)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = docs.select("id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fit_rows).select("id").distinct()
+    # A hash cuts each language to some times fit_rows before its rows are ranked, so no task ranks a whole language.
+    share = F.least(F.lit(1.0), F.lit(4.0 * fit_rows) / F.count(F.lit(1)))
+    shares = docs.groupBy("lang").agg(share.alias("share"))  # a row for each language, as the model has: small
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 31))
+    order = Window.partitionBy("lang").orderBy("place", "id", "text")
+    few = docs.withColumn("place", place).join(F.broadcast(shares), "lang").filter(F.col("place") < F.col("share") * (1 << 31))
+    chosen = few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fit_rows).select("id", "lang", "text")
 
     def sparse(batches):
         for batch in small(batches, "text"):
@@ -128,8 +133,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             rows = [np.flatnonzero(r).astype(np.uint16) for r in x]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array([r.tobytes() for r in rows]), pa.array([x[i, r].astype(np.float32).tobytes() for i, r in enumerate(rows)])], names=["id", "lang", "at", "value"])
 
-    # At most fit_rows ids of each language: bounded, so a broadcast is safe.
-    sample = docs.join(F.broadcast(chosen), "id").mapInArrow(sparse, T.StructType([docs.schema["id"], T.StructField("lang", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType())])).orderBy("lang", "id", "at").collect()
+    sample = chosen.mapInArrow(sparse, T.StructType([docs.schema["id"], T.StructField("lang", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType())])).orderBy("lang", "id", "at").collect()
     x = np.zeros((len(sample), DIMS), np.float32)
     for i, r in enumerate(sample):
         x[i, np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.value, np.float32)
