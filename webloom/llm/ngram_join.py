@@ -240,13 +240,16 @@ def prefixes(sets: DataFrame, ranks: DataFrame, n: int, percent: int) -> DataFra
             texts.append(data[at : at + size])
             at += size
         own = sets_of(texts, n, cache)
-        keys = np.unique(np.concatenate(own) >> KEY)
+        flat = np.concatenate(own) >> KEY
+        order = np.argsort(flat, kind="stable")
+        new = np.append(True, flat[order[1:]] != flat[order[:-1]])
         rank = np.frombuffer(b"".join(found), np.uint8)
-        if len(rank) != len(keys):
+        if len(rank) != new.sum():
             raise ValueError("the slice's n-grams aren't those that were counted")
+        each = np.empty(len(flat), np.uint8)
+        each[order] = rank[np.cumsum(new) - 1]
         out = []
-        for fp, text, x in zip(prints, texts, own, strict=True):
-            r = rank[np.searchsorted(keys, x >> KEY)]
+        for fp, text, x, r in zip(prints, texts, own, np.split(each, np.cumsum([len(x) for x in own])[:-1]), strict=True):
             most = len(x) - -(-percent * len(x) // 100) + 1 - int((r == 0).sum())
             if most > 0:
                 shared = x[r > 0]
