@@ -70,7 +70,9 @@ class QualityModel:
         return self.features(x) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Calibrated; a thousandth is the raw score's own, so that ties of the steps keep their order."""
+        """Calibrated; a thousandth is the raw score's own, so that ties of the steps keep their order. All 0.5 where nothing was learned."""
+        if not self.weights.any():
+            return np.full(len(x), 0.5)
         raw = np.clip(self.raw(x), LOW, HIGH)
         steps = np.interp((raw - LOW) / (HIGH - LOW) * GRID - 0.5, np.arange(GRID), self.grid)
         return np.clip(0.999 * steps + 0.001 * (raw - LOW) / (HIGH - LOW), 0, 1)
@@ -97,7 +99,8 @@ def matrix(col) -> np.ndarray:
 
 
 def summed(rows: DataFrame, part) -> np.ndarray:
-    """part(x, y) -> a matrix; its sum over all rows. Partitions sum their own, Spark adds each matrix row up."""
+    """part(x, y) -> a matrix; its sum over all rows. Partitions, a few for each core, sum their own, Spark adds each matrix row up."""
+    rows = rows.coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism)
 
     def partial(batches):
         total = None
