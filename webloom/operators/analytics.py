@@ -86,9 +86,10 @@ def similar_pairs(pages: DataFrame, group: Sequence[str], tokens: str, least: fl
 
 
 def top_share(df: DataFrame, order: Sequence[Column], share: float) -> DataFrame:
-    """The first ceil(share of rows), without sorting all rows in one task: order's first column sets a threshold, ranks within partitions the rest."""
-    n = df.count()
-    return df.orderBy(*order).limit(-(-int(n * share * 1_000_000) // 1_000_000))
+    """The first ceil(share of rows) in a total order, by ids of range partitions: no task sorts all rows."""
+    placed = identified(df, "_place", order)
+    n = placed.agg(F.ceil(F.count(F.lit(1)) * F.lit(share).cast("decimal(18,6)")).alias("_most"))
+    return placed.crossJoin(F.broadcast(n)).filter(F.col("_place") <= F.col("_most")).drop("_place", "_most")
 
 
 def depth_histogram(depths: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:

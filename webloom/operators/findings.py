@@ -91,9 +91,9 @@ def title_mismatch(pages: DataFrame) -> DataFrame:
 
 def placeholders(pages: DataFrame) -> DataFrame:
     """pages (page_id, title, h1, text, noindex): slots and filler text; medium in title or h1 of an indexable page."""
-    said = {c: X.text_slots(F.coalesce(c, F.lit(""))) for c in ("title", "h1", "text")}
+    said = {c: X.text_slots(F.coalesce(c, F.lit("")), short=c != "text") for c in ("title", "h1", "text")}
     rows = pages.withColumns(said)
-    hit = lambda c: (F.size(f"{c}.brackets") > 0) | F.col(f"{c}.lorem")
+    hit = lambda c: (F.size(f"{c}.brackets") > 0) | F.col(f"{c}.lorem") | F.col(f"{c}.cms_default") | F.col(f"{c}.slot")
     severity = F.when((hit("title") | hit("h1")) & ~F.coalesce("noindex", F.lit(False)), "medium").otherwise("low")
     return finding(rows.filter(hit("title") | hit("h1") | hit("text")), "template_placeholder", severity, F.col("page_id"), None, F.array_join(F.concat("title.brackets", "h1.brackets", "text.brackets"), ","))
 

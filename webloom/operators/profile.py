@@ -83,11 +83,12 @@ def languages(pages: DataFrame) -> DataFrame:
 
 
 def trailing_slash(pages: DataFrame, first: int = 50) -> DataFrame:
-    """pages (site, page_id, url) -> site, trailing_slash: what most of a site's first pages with a path have; null on a tie."""
+    """pages (site, page_id, url) -> site, trailing_slash: what most of a site's first pages have, those with a path and no file; null on a tie or without any."""
     path = U.path(F.col("url"))
-    rows = pages.filter((path != "") & (path != "/") & ~F.regexp_like(path, F.lit(r"\.[a-zA-Z0-9]{2,4}$"))).withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("page_id"))).filter(F.col("place") <= first)
-    ends = F.count_if(path.endswith("/"))
-    return rows.groupBy("site").agg(ends.alias("with_"), (F.count(F.lit(1)) - ends).alias("without")).select("site", F.when(F.col("with_") != F.col("without"), F.col("with_") > F.col("without")).alias("trailing_slash"))
+    rows = pages.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("page_id"))).filter(F.col("place") <= first)
+    votes = ~path.isin("", "/") & ~F.lower(F.regexp_extract(path, r"\.([^./]*)/*$", 1)).isin(*U.FILE_EXTENSIONS)
+    with_, without = F.count_if(votes & path.endswith("/")), F.count_if(votes & ~path.endswith("/"))
+    return rows.groupBy("site").agg(with_.alias("with_"), without.alias("without")).select("site", F.when(F.col("with_") != F.col("without"), F.col("with_") > F.col("without")).alias("trailing_slash"))
 
 
 TECH = {"wordpress": r"(?i)wordpress|/wp-(content|includes)/", "shopify": r"(?i)cdn\.shopify\.com|shopify", "drupal": r"(?i)drupal", "joomla": r"(?i)joomla", "wix": r"(?i)wix\.com", "next.js": r"/_next/static/"}

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..operators import analytics as A
 from ..operators import findings as D
 from ..operators import graph as G
-from .projections import LINKS, MENTIONS, links, mentions, query, table
+from .projections import MENTIONS, QUERIES, links, mentions, query, table
 
 #: Evidence from mentions: title lines speak for titles, heading lines for headings, the rest are mentions.
 EVIDENCE = f"""{MENTIONS}, e AS (
@@ -71,65 +71,32 @@ def uncovered(s, d):
     return D.uncovered_topics(weights(s, d), table(s, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name")))
 
 
-DEPTHS = f"""RECURSIVE {LINKS}, g AS (SELECT from_id, to_id FROM l WHERE from_id % 10 <> 3), x AS (
-  SELECT min(o_orderkey) AS node, 0 AS depth FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1 GROUP BY o_orderkey
-  UNION SELECT to_id, depth + 1 FROM x JOIN g ON node = from_id
-), b AS (SELECT node, min(depth) AS depth FROM x GROUP BY node)"""
-
-
-def click_depths(s, d):
-    rows = links(s, d)
-    homes = rows.filter("ordinal = 1").select(F.col("from_id").alias("node"))
-    alone = table(s, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("node")).select("node")
-    return G.depths(rows.filter("from_id % 10 <> 3").select("from_id", "to_id"), homes.union(alone))
-
-
-@query("click_depths", f"WITH {DEPTHS} SELECT node, depth::BIGINT AS depth FROM b")
-def _(s, d):
-    return click_depths(s, d).withColumn("depth", F.col("depth").cast("long"))
-
-
 #: All links: a chain's pages are as deep as their place in it. Customers in debt have no home, so their chains are unreachable.
 WHOLE = """o AS (SELECT o_orderkey, o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders),
 b AS (SELECT o_orderkey AS node, r - 1 AS depth FROM o JOIN customer ON c_custkey = o_custkey WHERE c_acctbal >= 0)"""
 
 
-def whole_depths(s, d):
+def click_depths(s, d):
     first = table(s, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("node"))
     homes = first.join(table(s, d, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select("node")
     return G.depths(links(s, d).select("from_id", "to_id"), homes)
 
 
-@query("click_depths_whole", f"WITH {WHOLE} SELECT node, depth::BIGINT AS depth FROM b")
+@query("click_depths", f"WITH {WHOLE} SELECT node, depth::BIGINT AS depth FROM b")
 def _(s, d):
-    return whole_depths(s, d).withColumn("depth", F.col("depth").cast("long"))
+    return click_depths(s, d).withColumn("depth", F.col("depth").cast("long"))
 
 
 @query(
-    "depth_histogram_whole",
+    "depth_histogram",
     f"""WITH {WHOLE} SELECT o_orderpriority, (count(*) FILTER (WHERE depth = 0))::BIGINT AS d_0, (count(*) FILTER (WHERE depth = 1))::BIGINT AS d_1, (count(*) FILTER (WHERE depth = 2))::BIGINT AS d_2,
     (count(*) FILTER (WHERE depth = 3))::BIGINT AS d_3, (count(*) FILTER (WHERE depth >= 4))::BIGINT AS d_4_plus, (count(*) FILTER (WHERE depth IS NULL))::BIGINT AS d_unreachable FROM o LEFT JOIN b ON node = o_orderkey GROUP BY ALL""",
 )
-def _(s, d):
-    return A.depth_histogram(whole_depths(s, d), table(s, d, "orders").select(F.col("o_orderkey").alias("node"), "o_orderpriority"), ["o_orderpriority"])
-
-
-@query("orphan_pages_whole", f"WITH {WHOLE} SELECT 'orphan_pages' AS type, CASE WHEN o_orderpriority = '1-URGENT' THEN 'medium' ELSE 'low' END AS severity, o_orderkey AS page_id, NULL::BIGINT AS entity_id, 'unreachable' AS evidence FROM o LEFT JOIN b ON node = o_orderkey WHERE depth IS NULL")
-def whole_orphans(s, d):
-    pages = table(s, d, "orders").select(F.col("o_orderkey").alias("page_id"), "o_orderpriority")
-    return D.orphan_pages(pages, whole_depths(s, d), F.col("o_orderpriority") == "1-URGENT")
-
-
-@query(
-    "depth_histogram",
-    f"""WITH {DEPTHS} SELECT o_orderpriority, (count(*) FILTER (WHERE depth = 0))::BIGINT AS d_0, (count(*) FILTER (WHERE depth = 1))::BIGINT AS d_1, (count(*) FILTER (WHERE depth = 2))::BIGINT AS d_2,
-    (count(*) FILTER (WHERE depth = 3))::BIGINT AS d_3, (count(*) FILTER (WHERE depth >= 4))::BIGINT AS d_4_plus, (count(*) FILTER (WHERE depth IS NULL))::BIGINT AS d_unreachable FROM orders LEFT JOIN b ON node = o_orderkey GROUP BY ALL""",
-)
 def _(s, d):
     return A.depth_histogram(click_depths(s, d), table(s, d, "orders").select(F.col("o_orderkey").alias("node"), "o_orderpriority"), ["o_orderpriority"])
 
 
-@query("orphan_pages", f"WITH {DEPTHS} SELECT 'orphan_pages' AS type, CASE WHEN o_orderpriority = '1-URGENT' THEN 'medium' ELSE 'low' END AS severity, o_orderkey AS page_id, NULL::BIGINT AS entity_id, 'unreachable' AS evidence FROM orders LEFT JOIN b ON node = o_orderkey WHERE depth IS NULL")
+@query("orphan_pages", f"WITH {WHOLE} SELECT 'orphan_pages' AS type, CASE WHEN o_orderpriority = '1-URGENT' THEN 'medium' ELSE 'low' END AS severity, o_orderkey AS page_id, NULL::BIGINT AS entity_id, 'unreachable' AS evidence FROM o LEFT JOIN b ON node = o_orderkey WHERE depth IS NULL")
 def orphans(s, d):
     pages = table(s, d, "orders").select(F.col("o_orderkey").alias("page_id"), "o_orderpriority")
     return D.orphan_pages(pages, click_depths(s, d), F.col("o_orderpriority") == "1-URGENT")
@@ -157,23 +124,12 @@ def canonical(s, d):
     return G.canonical_targets(canonical_rows(s, d))
 
 
-@query("merge_components", f"WITH RECURSIVE {LINKS}, g AS (SELECT from_id AS a, to_id AS b FROM l WHERE from_id % 4 <> 1), h AS (SELECT * FROM g UNION SELECT b, a FROM g), x AS (SELECT a AS node, a AS root FROM h UNION SELECT h.b, x.root FROM x JOIN h ON h.a = x.node) SELECT node, min(root) AS root FROM x GROUP BY node")
-def _(s, d):
-    return G.components(links(s, d).filter("from_id % 4 <> 1").select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
-
-
-@query("ancestor_closure", f"WITH RECURSIVE {LINKS}, p AS (SELECT to_id AS node, from_id AS parent FROM l WHERE ordinal % 6 <> 0), x AS (SELECT node, parent AS ancestor, 1 AS level FROM p UNION ALL SELECT x.node, p.parent, level + 1 FROM x JOIN p ON p.node = x.ancestor) SELECT node, ancestor, level::BIGINT AS level FROM x")
-def _(s, d):
-    parents = links(s, d).filter("ordinal % 6 <> 0").select(F.col("to_id").alias("node"), F.col("from_id").alias("parent"))
-    return G.ancestors(parents).withColumn("level", F.col("level").cast("long"))
-
-
-@query("merge_components_whole", f"WITH {WHOLE} SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS root FROM o QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1")
+@query("merge_components", f"WITH {WHOLE} SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS root FROM o QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1")
 def _(s, d):
     return G.components(links(s, d).select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
 
 
-@query("ancestor_closure_whole", f"WITH {WHOLE} SELECT x.o_orderkey AS node, y.o_orderkey AS ancestor, (x.r - y.r)::BIGINT AS level FROM o x JOIN o y ON y.o_custkey = x.o_custkey AND y.r < x.r")
+@query("ancestor_closure", f"WITH {WHOLE} SELECT x.o_orderkey AS node, y.o_orderkey AS ancestor, (x.r - y.r)::BIGINT AS level FROM o x JOIN o y ON y.o_custkey = x.o_custkey AND y.r < x.r")
 def _(s, d):
     return G.ancestors(links(s, d).select(F.col("to_id").alias("node"), F.col("from_id").alias("parent"))).withColumn("level", F.col("level").cast("long"))
 
@@ -199,6 +155,14 @@ def _(s, d):
     return A.sections(rows.select("page_id", "ordinal", F.when(q < 10, 1).when(q < 20, 2).when(q < 30, 4).alias("level"), (F.col("l_partkey") % 50).alias("words")))
 
 
-@query("all_findings")
+def _findings_sql() -> str:
+    sql = {n: QUERIES[n][1] for n in ("unclear_topic", "uncovered_topic", "orphan_pages", "canonical_targets")}
+    columns = "type, severity, page_id, entity_id, evidence"
+    sql["canonical_targets"] = f"SELECT 'canonical_issue' AS type, 'medium' AS severity, page_id, NULL::BIGINT AS entity_id, issue AS evidence FROM ({sql['canonical_targets']}) WHERE issue = 'loop'"
+    rows = " UNION ALL ".join(f"SELECT {columns} FROM ({x})" for x in sql.values())
+    return f"SELECT row_number() OVER (ORDER BY list_position({list(D.TYPES)}, type), list_position({list(D.SEVERITIES)}, severity), page_id NULLS LAST, entity_id NULLS LAST, evidence) AS finding_id, {columns} FROM ({rows})"
+
+
+@query("all_findings", _findings_sql())
 def _(s, d):
-    return D.numbered([unclear(s, d), uncovered(s, d), whole_orphans(s, d), D.canonical_issues(canonical(s, d))])
+    return D.numbered([unclear(s, d), uncovered(s, d), orphans(s, d), D.canonical_issues(canonical(s, d))])

@@ -153,17 +153,20 @@ def _(s, d):
     return S.country_votes(country_signals(s, d)).select("site", "country", "share", F.col("rank").cast("long").alias("rank"))
 
 
-@query("target_countries")
+#: hreflang is the one strong kind among these signals: its leader agrees with the vote or differs from it.
+@query("target_countries", f"""WITH {COUNTRY}, f AS (SELECT site, max(country) FILTER (WHERE rank = 1) AS country, max(score) FILTER (WHERE rank = 1) AS a, max(score) FILTER (WHERE rank = 2) AS b FROM t GROUP BY site),
+    l AS (SELECT site, max(country) AS leader FROM (SELECT *, rank() OVER (PARTITION BY site ORDER BY n DESC) AS place FROM c WHERE kind = 'hreflang') WHERE place = 1 GROUP BY site HAVING count(*) = 1)
+    SELECT f.site, CASE WHEN NOT coalesce(abs(a - b) <= 1e-9 * a, false) THEN country END AS country, CASE WHEN NOT coalesce(abs(a - b) <= 1e-9 * a, false) THEN CASE WHEN leader = country THEN 'medium' ELSE 'low' END END AS confidence FROM f LEFT JOIN l ON l.site = f.site""")
 def _(s, d):
     return S.target_countries(country_signals(s, d))
 
 
-@query("site_languages")
+@query("site_languages", f"""SELECT site, string_agg(lang, ',' ORDER BY n DESC, lang) AS languages FROM (SELECT {HOST.format('url')} AS site, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, count(*) AS n FROM pages GROUP BY ALL) GROUP BY site""")
 def _(s, d):
-    return S.languages(parsed(s, d).select(U.host(F.col("url")).alias("site"), "lang", "hreflang"))
+    return S.languages(parsed(s, d).select(U.host(F.col("url")).alias("site"), "lang", "hreflang")).withColumn("languages", F.array_join("languages", ","))
 
 
-@query("trailing_slashes", f"WITH p AS (SELECT {HOST.format('url')} AS site, page_id, {PATH.format('url')} AS p FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS k FROM p WHERE p NOT IN ('', '/') AND NOT regexp_matches(p, '[.][a-zA-Z0-9][a-zA-Z0-9][a-zA-Z0-9]?[a-zA-Z0-9]?$')) SELECT site, CASE WHEN 2 * count(*) FILTER (WHERE p LIKE '%/') <> count(*) THEN 2 * count(*) FILTER (WHERE p LIKE '%/') > count(*) END AS trailing_slash FROM r WHERE k <= 50 GROUP BY site")
+@query("trailing_slashes", f"WITH p AS (SELECT {HOST.format('url')} AS site, page_id, {PATH.format('url')} AS p FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS k FROM p), v AS (SELECT *, p NOT IN ('', '/') AND lower(regexp_extract(p, '[.]([^./]*)/*$', 1)) NOT IN {U.FILE_EXTENSIONS} AS votes FROM r WHERE k <= 50), n AS (SELECT site, count(*) FILTER (WHERE votes AND p LIKE '%/') AS a, count(*) FILTER (WHERE votes AND p NOT LIKE '%/') AS b FROM v GROUP BY site) SELECT site, CASE WHEN a <> b THEN a > b END AS trailing_slash FROM n")
 def _(s, d):
     return S.trailing_slash(table(s, d, "pages").select(U.host(F.col("url")).alias("site"), "page_id", "url"))
 
@@ -212,11 +215,6 @@ def _(s, d):
     return out.select("page_id", "main_entity", "confidence", F.coalesce(F.size("secondaries").cast("long"), F.lit(0)).alias("secondaries"))
 
 
-@query("schema_nodes")
-def _(s, d):
-    return D.nodes_of(parsed(s, d))
-
-
 @query("blocks_by_kind", "SELECT 'heading' AS kind, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(html, '<h1>')) FROM pages)")
 def _(s, d):
     return H.blocks_of(parsed(s, d)).filter("kind = 'heading'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

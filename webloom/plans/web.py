@@ -96,7 +96,7 @@ def _(s, d):
     return A.identified(n, "place", [F.desc("pages"), F.asc("lang")])
 
 
-@query("robots_decisions")
+@query("robots_decisions", f"""WITH p AS (SELECT DISTINCT {HOST.format('url')} AS host, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+', ''), '#.*$', '') AS path FROM pages), r AS (SELECT host, path, CASE WHEN regexp_matches(path, '^/en/.*[?]page=') THEN '/en/*?page=' WHEN path LIKE '/en/%' THEN '/en/' WHEN path LIKE '/de/%' THEN '/de/' END AS pattern FROM p) SELECT host, path, pattern IS NULL OR pattern = '/en/' AS allowed, pattern FROM r""")
 def _(s, d):
     hosts = table(s, d, "pages").select(U.host(F.col("url")).alias("host")).distinct()
     body = "User-agent: *\nDisallow: /en/*?page=\nAllow: /en/\nDisallow: /de/\nUser-agent: examplebot\nUser-agent: other\nDisallow: /fr/$\nDisallow: /es/9 # nines\n"
@@ -105,7 +105,9 @@ def _(s, d):
     return L.robots_decision(table(s, d, "pages").select(U.host(F.col("url")).alias("host"), path.alias("path")).distinct(), rules, "googlebot")
 
 
-@query("path_parents")
+@query("path_parents", f"""WITH p AS (SELECT page_id, url, {HOST.format('url')} AS h, list_filter(string_split({PATH.format('url')}, '/'), lambda x: x <> '') AS parts, coalesce(nullif({PATH.format(KEY.format('url'))}, ''), '/') AS own FROM pages),
+    s AS (SELECT h, own, min(page_id) AS parent_id FROM p GROUP BY ALL), a AS (SELECT page_id, h, unnest([n for n in range(greatest(len(parts), 1))]) AS n, parts FROM p), f AS (SELECT page_id, h, '/' || array_to_string(parts[1:n], '/') AS folder FROM a),
+    b AS (SELECT f.page_id, arg_max(parent_id, length(folder)) AS parent_id FROM f JOIN s ON s.h = f.h AND s.own = f.folder WHERE f.page_id <> parent_id GROUP BY f.page_id) SELECT p.page_id, p.url, b.parent_id FROM p LEFT JOIN b ON b.page_id = p.page_id""")
 def _(s, d):
     return L.path_parents(table(s, d, "pages").select("page_id", "url"))
 
@@ -151,7 +153,9 @@ def _(s, d):
     return table(s, d, "conversations").select(F.explode(F.split("text", " ")).alias("word")).filter((w == F.lower(w)) & (w != F.upper(w))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("trivial_anchors")
+@query("trivial_anchors", f"""WITH a AS (SELECT trim(regexp_replace({UNESCAPE.format("unnest(regexp_extract_all(html, '<a href=[^>]*>(.*?)</a>', 1))")}, '\\s+', ' ', 'g')) AS anchor FROM pages),
+    k AS (SELECT anchor, trim(regexp_replace(lower(anchor), '[-\\s]+', ' ', 'g')) AS key FROM a), r AS (SELECT anchor, CASE WHEN NOT regexp_matches(key, '\\p{{L}}') THEN 'anchor_without_letter' WHEN length(key) <= 2 THEN 'anchor_short'
+    WHEN regexp_matches(key, '^[ivxlcdm]+$') AND regexp_matches(key, '^m{{0,4}}(cm|cd|d?c{{0,3}})(xc|xl|l?x{{0,3}})(ix|iv|v?i{{0,3}})$') AND regexp_matches(trim(anchor), '^[A-Z]+$') THEN 'anchor_roman_numeral' END AS reason FROM k) SELECT reason, anchor, count(*)::BIGINT AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL""")
 def _(s, d):
     return H.links_of(parsed(s, d)).withColumn("reason", X.trivial_anchor(F.col("anchor"))).filter("reason IS NOT NULL").groupBy("reason", "anchor").agg(F.count(F.lit(1)).alias("n"))
 
@@ -162,10 +166,3 @@ def _(s, d):
     blocks = H.blocks_of(pages).select("page_id", "ordinal", "level", F.size(F.split("text", r"\s+")).alias("words"))
     named = H.blocks_of(pages).filter("level IS NOT NULL").select("page_id", "ordinal", "level", "text")
     return D.heading_findings(pages.select("page_id", "words"), A.sections(blocks), named)
-
-
-@query("placeholder_pages")
-def _(s, d):
-    pages = parsed(s, d)
-    text = F.array_join(F.transform("blocks", lambda b: b["text"]), " ")
-    return D.placeholders(pages.select("page_id", "title", "h1", text.alias("text"), "noindex"))
