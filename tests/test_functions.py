@@ -193,9 +193,43 @@ def test_graph_loops(spark):
 
 
 def test_main_entity(spark):
-    rows = [(1, 10, "h1", 3), (1, 10, "primary", 3), (1, 11, "primary", 9), (1, 12, "url", 50), (2, 12, "top_mentions", 1), (3, 13, "anchored", 1), (3, 14, "schema_about", 1)]
+    rows = [(1, 10, "h1", 3), (1, 10, "primary", 3), (1, 11, "primary", 9), (1, 12, "url", 50), (2, 12, "top_mentions", 1), (3, 13, "anchored", 1), (3, 14, "schema_about", 1), (3, 15, "h1", 1), (3, 15, "primary", 1), (3, 16, "profile", 2)]
     got = G.main_entities(spark.createDataFrame(rows, "page_id long, entity_id long, kind string, mentions long")).collect()
-    assert {(r.page_id, r.entity_id, r.role, r.confidence) for r in got} == {(1, 10, "main", "strong"), (1, 11, "secondary", None), (2, 12, "main", "weak"), (3, 13, "main", "strong"), (3, 14, "secondary", None)}
+    # An entity that is only on the list of primary ones isn't secondary; of three that might be, two are.
+    assert {(r.page_id, r.entity_id, r.role, r.confidence) for r in got} == {(1, 10, "main", "strong"), (2, 12, "main", "weak"), (3, 13, "main", "strong"), (3, 16, "secondary", None), (3, 14, "secondary", None)}
+
+
+def test_confidence(spark):
+    kinds = {1: ["primary"], 2: ["primary", "heading"], 3: ["h1", "url"], 4: ["title"], 5: ["h1", "title"], 6: ["group_primary", "title"], 7: ["group_primary", "inbound_anchor"]}
+    rows = [(p, 9, k, 1, 0 if p == 1 else 4 if k == "primary" else None) for p, ks in kinds.items() for k in ks]
+    got = G.main_entities(spark.createDataFrame(rows, "page_id long, entity_id long, kind string, mentions long, primary_index int")).collect()
+    assert {r.page_id: r.confidence for r in got} == {1: "medium", 2: "medium", 3: "medium", 4: "weak", 5: "weak", 6: "strong", 7: "weak"}
+
+
+def test_language_pairs_decide_together(spark):
+    pages = spark.createDataFrame([(1, 1, True), (2, 1, False), (3, 3, True)], "page_id long, pair_id long, first_lang boolean")
+    rows = [(1, 20, "primary", 1, 1), (1, 21, "primary", 1, 1), (2, 20, "primary", 1, 1), (2, 22, "primary", 9, 0), (3, 31, "primary", 1, None), (3, 30, "primary", 1, None)]
+    got = G.main_entities(spark.createDataFrame(rows, "page_id long, entity_id long, kind string, mentions long, primary_index int"), pages).filter("role = 'main'").collect()
+    assert {r.page_id: r.entity_id for r in got} == {1: 20, 2: 22, 3: 30}
+    duplicates = spark.createDataFrame([(3, 1)], "page_id long, original_id long")
+    mains = spark.createDataFrame([(1, 20, "main"), (3, 30, "main")], "page_id long, entity_id long, role string")
+    assert {tuple(r) for r in G.inherited(mains, duplicates).collect()} == {(1, 20, "main"), (3, 20, "main")}
+
+
+def test_weights(spark):
+    mentions = spark.createDataFrame([(1, 7, "h1", "content", False, 1), (1, 7, "body", "content", False, 2), (2, 7, "body", "chrome", False, 1), (3, 7, "body", "content", True, 1), (4, 7, "anchor", "content", False, 1), (5, 8, "body", "content", False, 1), (9, 7, "h1", "content", False, 1)], "page_id long, entity_id long, position string, region string, skip boolean, n int")
+    mains = spark.createDataFrame([(1, 7, "main"), (2, 7, "secondary"), (9, 7, "main")], "page_id long, entity_id long, role string")
+    inbound = spark.createDataFrame([(1, "g", True), (1, "g", True), (1, "g", False), (1, "g", False), (1, "k", False), (9, "g", True)], "to_page_id long, group string, body boolean")
+    got = {r.entity_id: r for r in G.entity_weights(mentions, mains, inbound, spark.createDataFrame([(9,)], "page_id long")).collect()}
+    from math import log2
+
+    assert [got[7][c] for c in ("pages", "mentions", "structural", "main_pages", "secondary_pages", "content_anchors", "nav_anchors")] == [2, 4, 2, 1, 1, 2, 2]
+    assert got[7].weight == round(log2(3) + 0.5 * log2(5) + log2(3) + 2 * log2(2) + 0.5 * log2(3) + 0.1 * log2(3), 4) and got[8].weight == round(0.25 * (1 + 0.5), 4)
+
+
+def test_chain_levels(spark):
+    items = spark.createDataFrame([("a", "x", None), ("a", "y", "x"), ("a", "z", "y"), ("b", "y", None), ("a", "p", "q"), ("a", "q", "p")], "area string, key string, parent string")
+    assert {(r.area, r.key, r.level) for r in G.chain_levels(items, ["area"]).collect()} == {("a", "x", 0), ("a", "y", 1), ("a", "z", 2), ("b", "y", 0), ("a", "p", 1), ("a", "q", 1)}
 
 
 def test_votes_and_merges(spark):

@@ -55,6 +55,60 @@ def sections(blocks: DataFrame) -> DataFrame:
     return out.select("page_id", "ordinal", "level", "parent", "own_words", skipped.alias("skipped"), empty.alias("empty"))
 
 
+def subtree_words(heads: DataFrame) -> DataFrame:
+    """heads (page_id, ordinal, level, own_words) with total_words: own words and those of the sections below, up to the next heading of this level or above."""
+    order = Window.partitionBy("page_id").orderBy("ordinal")
+    so_far = F.coalesce(F.sum("own_words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = heads.withColumn("so_far", so_far).withColumn("all_words", F.sum("own_words").over(Window.partitionBy("page_id")))
+    after = order.rowsBetween(1, Window.unboundedFollowing)
+    ends = {k: F.min(F.when(F.col("level") <= k, F.struct("ordinal", "so_far"))).over(after) for k in range(1, 7)}
+    end = F.coalesce(*(F.when(F.col("level") == k, e["so_far"]) for k, e in ends.items()), F.col("all_words"))
+    return rows.withColumn("total_words", (end - F.col("so_far")).cast("long")).drop("so_far", "all_words")
+
+
+def concept_ranks(mentions: DataFrame) -> DataFrame:
+    """mentions (page_id, entity_id, position, n, ordinal) -> page_id, entity_id, rank: those in title, h1 or heading first, then by mentions, first place, id."""
+    each = mentions.groupBy("page_id", "entity_id").agg(F.bool_or(F.col("position").isin("title", "h1", "heading")).alias("prominent"), F.sum("n").alias("n"), F.min("ordinal").alias("first"))
+    order = Window.partitionBy("page_id").orderBy(F.desc("prominent"), F.desc("n"), "first", "entity_id")
+    return each.select("page_id", "entity_id", F.row_number().over(order).cast("long").alias("rank"))
+
+
+def kind_share(blocks: DataFrame, kind: str) -> DataFrame:
+    """blocks (page_id, kind, words) -> page_id, share: the part of a page's words that stands in blocks of a kind; null without words."""
+    return blocks.groupBy("page_id").agg((F.sum(F.when(F.col("kind") == kind, F.col("words")).otherwise(0)) / F.nullif(F.sum("words"), F.lit(0))).alias("share"))
+
+
+def title_suffixes(pages: DataFrame, share: float = 0.5) -> DataFrame:
+    """pages (lang, suffix: a title's last piece, null without one; titled) -> lang, suffix, pages: those that such a share of the language's titled pages end in."""
+    titled = pages.filter("titled")
+    all_ = titled.groupBy("lang").agg(F.count(F.lit(1)).alias("titles"))
+    each = titled.filter("suffix IS NOT NULL").groupBy("lang", "suffix").agg(F.count(F.lit(1)).alias("pages"))
+    return each.join(all_, "lang").filter(F.col("pages") >= share * F.col("titles")).drop("titles")
+
+
+def is_subsequence(part: Column, whole: Column) -> Column:
+    """Whether the items of an array stand in another in the same order, others between them or not."""
+    found = F.aggregate(whole, F.lit(0), lambda n, x: F.when(x.eqNullSafe(F.get(part, n)) & (n < F.size(part)), n + 1).otherwise(n))
+    return found == F.size(part)
+
+
+def vote_counters(votes: DataFrame, keys: Sequence[str], choice: str) -> DataFrame:
+    """Each key's choices and how often they were made, as JSON sorted by choice."""
+    counts = votes.groupBy(*keys, choice).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(choice), "n"))))).alias("counters"))
+
+
+def changed_inputs(old: DataFrame, new: DataFrame, key: str, content: Column) -> DataFrame:
+    """old (key, hash), new rows -> those of new whose content's hash isn't the one kept for their key: what must be done again."""
+    fresh = new.withColumn("hash", F.sha2(content, 256))
+    return fresh.join(old.select(key, "hash"), [key, "hash"], "left_anti")
+
+
+def cascaded(children: DataFrame, column: str, gone: DataFrame, key: str) -> DataFrame:
+    """children without the rows that belong to rows that are gone."""
+    return children.join(gone.select(F.col(key).alias(column)).distinct(), column, "left_anti").select(*children.columns)
+
+
 def look_back(df: DataFrame, keys: Sequence[str], order: str, value: Column, rows: int) -> Column:
     """The nearest non-null value in so many rows before."""
     return F.last(value, True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-rows, -1))

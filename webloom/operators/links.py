@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,3 +80,31 @@ def weak_pages(facts: DataFrame, most: int = 0) -> DataFrame:
 
 def position_of(kind: Column) -> Column:
     return F.when(kind.isin("nav", "footer", "aside"), kind).otherwise("body")
+
+
+def admitted(urls: DataFrame, seed_host: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
+    """urls (url) with admitted: internal addresses that match a pattern of include, if there are any, and none of exclude."""
+    url = F.col("url")
+    any_of = lambda patterns, none: F.regexp_like(url, F.lit("|".join(f"(?:{p})" for p in patterns))) if patterns else F.lit(none)
+    return urls.withColumn("admitted", U.is_internal(U.host(url), U.path(url), F.lit(seed_host)) & any_of(include, True) & ~any_of(exclude, False))
+
+
+def language_pairs(pages: DataFrame) -> DataFrame:
+    """pages (page_id, group, lang) -> group, a, b, a_lang, b_lang: each two pages of a group in different languages. Groups are as large as a site has languages."""
+    a, b = (pages.select("group", F.col("page_id").alias(n), F.col("lang").alias(f"{n}_lang")) for n in "ab")
+    return a.join(b, "group").filter("a_lang < b_lang")
+
+
+def inbound_to_originals(links: DataFrame, duplicates: DataFrame, groups: DataFrame) -> DataFrame:
+    """links (from_id, to_id, position), duplicates (page_id, original_id), groups (page_id, group) -> to_id, group, body: links to originals, those to their duplicates too, from pages of other groups."""
+    moved = links.join(duplicates.toDF("to_id", "original_id"), "to_id", "left").withColumn("to_id", F.coalesce("original_id", "to_id")).drop("original_id")
+    rows = moved.join(groups.select(F.col("page_id").alias("from_id"), "group"), "from_id").join(groups.select(F.col("page_id").alias("to_id"), F.col("group").alias("own")), "to_id")
+    return rows.filter("group <> own").select("to_id", "group", (F.col("position") == "body").alias("body"))
+
+
+def cache_hits(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """requests (request_id, text), cache (text, answer) -> request_id, answer: of a cached request that is equal but for case and blanks, the same text first, then the smallest."""
+    key = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    kept = cache.select(key.alias("key"), F.col("text").alias("cached"), "answer")
+    rows = requests.withColumn("key", key).join(kept, "key")
+    return rows.groupBy("request_id").agg(F.min_by("answer", F.struct(F.col("cached") != F.col("text"), "cached", "answer")).alias("answer"))

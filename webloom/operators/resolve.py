@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as X
 from . import analytics as A
 
 SOURCE_ORDER = ("schema", "rule", "llm")
@@ -87,6 +88,19 @@ def families(products: DataFrame, brand: str, name: str, least: int = 2) -> Data
     return best
 
 
+def person_merges(people: DataFrame) -> DataFrame:
+    """people (entity_id, name) -> kept_id, removed_id: those whose names have the same words in any order, cases and accents aside; the smallest id stays."""
+    key = F.array_join(F.array_sort(F.filter(F.split(X.alias_key(F.col("name")), " "), lambda w: w != "")), " ")
+    rows = people.withColumn("key", key).filter("key <> ''").withColumn("kept_id", F.min("entity_id").over(Window.partitionBy("key")))
+    return rows.filter("entity_id <> kept_id").select("kept_id", F.col("entity_id").alias("removed_id"))
+
+
+def within_blocks(mentions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """mentions (entity_id, page_id, ordinal), blocks (page_id, ordinal) -> entity_id: entities all of whose mentions stand in these blocks."""
+    known = blocks.select("page_id", "ordinal").distinct().withColumn("inside", F.lit(True))
+    return mentions.join(known, ["page_id", "ordinal"], "left").groupBy("entity_id").agg(F.bool_and(F.coalesce("inside", F.lit(False))).alias("all")).filter("all").select("entity_id")
+
+
 def knowledge_status(candidates: DataFrame) -> DataFrame:
     """candidates (entity_id, kb_id, name_equal, type_equal, corroborated) -> entity_id, kb_id, status.
 

@@ -39,6 +39,13 @@ def spend(calls: DataFrame, budget: float) -> DataFrame:
     return rows.withColumn("over_budget", F.col("usd") > budget)
 
 
+def spend_by_purpose(calls: DataFrame, budgets: DataFrame) -> DataFrame:
+    """calls (provider, model, purpose, usd), budgets (provider, budget) -> provider, model, purpose, calls, usd, provider_usd, over_budget."""
+    each = calls.groupBy("provider", "model", "purpose").agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("usd"), F.lit(0.0)).alias("usd"))
+    total = each.groupBy("provider").agg(F.sum("usd").alias("provider_usd"))
+    return each.join(total, "provider").join(budgets, "provider", "left").withColumn("over_budget", F.coalesce(F.col("provider_usd") > F.col("budget"), F.lit(False))).drop("budget")
+
+
 def fact_rows(df: DataFrame, key: str) -> DataFrame:
     """A wide row as key-value rows: key, fact, value as text."""
     facts = [c for c in df.columns if c != key]

@@ -8,33 +8,46 @@ from pyspark.sql.window import Window
 from ..operators import analytics as A
 from ..operators import findings as D
 from ..operators import graph as G
-from .projections import MENTIONS, QUERIES, links, mentions, query, table
+from .projections import LINKS, MENTIONS, QUERIES, links, mentions, query, table
 
-#: Evidence from mentions: title lines speak for titles, heading lines for headings, the rest are mentions.
+#: Evidence from mentions: title lines speak for the h1, heading lines for the list of primary entities, the rest are
+#: mentions. Orders next to each other are one page in two languages.
 EVIDENCE = f"""{MENTIONS}, e AS (
-  SELECT page_id, entity_id, CASE position WHEN 'title' THEN 'title' WHEN 'heading' THEN 'primary' ELSE 'top_mentions' END AS kind,
-    CASE position WHEN 'title' THEN 4 WHEN 'heading' THEN 3 ELSE 5 END AS strength, count(*) OVER (PARTITION BY page_id, entity_id) AS n FROM m WHERE NOT skip
+  SELECT page_id, entity_id, CASE position WHEN 'title' THEN 'h1' WHEN 'heading' THEN 'primary' ELSE 'top_mentions' END AS kind, ordinal, count(*) OVER (PARTITION BY page_id, entity_id) AS n FROM m WHERE NOT skip
 ), g AS (
-  SELECT page_id, entity_id, min(strength) AS best, count(DISTINCT kind) AS kinds, max(n) AS n, bool_or(kind = 'primary') AS primary_, bool_or(kind = 'title') AS headline FROM e GROUP BY ALL
+  SELECT page_id, page_id // 2 AS pair, entity_id, min(CASE kind WHEN 'h1' THEN 4 WHEN 'primary' THEN 3 ELSE 5 END) AS best, count(DISTINCT kind) AS kinds, max(n) AS n, min(ordinal - 1) FILTER (WHERE kind = 'primary') AS ix,
+    bool_or(kind = 'primary') AS p, bool_or(kind = 'h1') AS h, bool_or(kind = 'top_mentions') AS t, list(DISTINCT kind) AS ks FROM e GROUP BY ALL
+), pr AS (
+  SELECT o_orderkey // 2 AS pair, count(*) > 1 AS paired FROM orders GROUP BY ALL
+), q AS (
+  SELECT pair, entity_id, min(ix) AS pix, count(*) FILTER (WHERE p) AS lists, len(list_distinct(flatten(list(ks)))) AS pk, sum(n) AS pn, bool_or(p AND page_id % 2 = 0) AS pf FROM g GROUP BY ALL
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY best, kinds DESC, n DESC, entity_id) AS rank FROM g
+  SELECT g.*, pix, row_number() OVER (PARTITION BY page_id ORDER BY best, coalesce(pix, 99), CASE WHEN paired THEN lists ELSE 0 END DESC, pk DESC, pn DESC, paired AND pf DESC, CASE WHEN paired THEN g.entity_id ELSE 0 END, kinds DESC, n DESC, g.entity_id) AS place
+  FROM g JOIN pr ON pr.pair = g.pair JOIN q ON q.pair = g.pair AND q.entity_id = g.entity_id
+), chosen AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place)::BIGINT AS rank FROM r WHERE place = 1 OR (h AND p)
 ), main AS (
-  SELECT page_id, entity_id, CASE WHEN rank = 1 THEN 'main' ELSE 'secondary' END AS role, rank::BIGINT AS rank,
-    CASE WHEN rank > 1 THEN NULL WHEN best <= 2 OR (primary_ AND headline) THEN 'strong' WHEN headline AND kinds >= 2 THEN 'medium' ELSE 'weak' END AS confidence
-  FROM r WHERE rank = 1 OR (rank <= 3 AND best <= 3)
+  SELECT page_id, entity_id, CASE WHEN rank = 1 THEN 'main' ELSE 'secondary' END AS role, rank,
+    CASE WHEN rank > 1 THEN NULL WHEN p AND h THEN 'strong' WHEN coalesce(pix, 99) = 0 OR (p AND t) OR (h AND (p OR t)) THEN 'medium' ELSE 'weak' END AS confidence FROM chosen WHERE rank <= 3
 )"""
 
 
 def evidence(s, d):
     rows = mentions(s, d).filter("NOT skip")
     n = rows.groupBy("page_id", "entity_id").agg(F.count(F.lit(1)).alias("mentions"))
-    kind = F.create_map(F.lit("title"), F.lit("title"), F.lit("heading"), F.lit("primary"), F.lit("body"), F.lit("top_mentions"))[F.col("position")]
-    return rows.select("page_id", "entity_id", kind.alias("kind")).distinct().join(n, ["page_id", "entity_id"])
+    kind = F.create_map(F.lit("title"), F.lit("h1"), F.lit("heading"), F.lit("primary"), F.lit("body"), F.lit("top_mentions"))[F.col("position")]
+    index = F.min(F.when(F.col("kind") == "primary", F.col("ordinal") - 1)).alias("primary_index")
+    return rows.withColumn("kind", kind).groupBy("page_id", "entity_id", "kind").agg(index).join(n, ["page_id", "entity_id"])
+
+
+def language_pairs(s, d):
+    key = F.col("o_orderkey")
+    return table(s, d, "orders").select(key.alias("page_id"), F.floor(key / 2).alias("pair_id"), (key % 2 == 0).alias("first_lang"))
 
 
 @query("main_entities", f"WITH {EVIDENCE} SELECT * FROM main")
 def main_entities(s, d):
-    return G.main_entities(evidence(s, d))
+    return G.main_entities(evidence(s, d), language_pairs(s, d))
 
 
 @query("mention_edges", f"WITH {MENTIONS} SELECT page_id, entity_id, sum(CASE position WHEN 'title' THEN 3.0 WHEN 'heading' THEN 2.0 ELSE 1.0 END * n)::DOUBLE AS weight FROM m WHERE NOT skip GROUP BY ALL")
@@ -42,18 +55,21 @@ def _(s, d):
     return G.mention_edges(mentions(s, d))
 
 
-WEIGHTS = f"""{EVIDENCE}, c AS (
+WEIGHTS = f"""{EVIDENCE}, {LINKS}, c AS (
   SELECT entity_id, count(DISTINCT page_id) AS pages, sum(n) AS mentions, count(DISTINCT page_id) FILTER (WHERE position <> 'body') AS structural FROM m WHERE NOT skip GROUP BY entity_id
-), h AS (SELECT entity_id, count(DISTINCT page_id) AS main_pages FROM main WHERE role = 'main' GROUP BY entity_id),
-w AS (
-  SELECT entity_id, pages::BIGINT AS pages, mentions::BIGINT AS mentions, structural::BIGINT AS structural, coalesce(main_pages, 0)::BIGINT AS main_pages,
-    round((log2(1 + pages::DOUBLE) + 0.5 * log2(1 + mentions::DOUBLE) + log2(1 + structural::DOUBLE) + 2 * log2(1 + coalesce(main_pages, 0)::DOUBLE)) * CASE WHEN mentions = 1 THEN 0.25 ELSE 1.0 END, 4) AS weight
-  FROM c LEFT JOIN h USING (entity_id)
+), hm AS (SELECT entity_id, count(DISTINCT page_id) FILTER (WHERE role = 'main') AS main_pages, count(DISTINCT page_id) FILTER (WHERE role <> 'main') AS secondary_pages FROM main GROUP BY entity_id
+), an AS (SELECT entity_id, count(*) FILTER (WHERE position = 'body') AS content_anchors, count(DISTINCT o_custkey) FILTER (WHERE position <> 'body') AS nav_anchors FROM main JOIN l ON to_id = page_id WHERE role = 'main' GROUP BY entity_id
+), x AS (
+  SELECT entity_id, pages::BIGINT AS pages, mentions::BIGINT AS mentions, structural::BIGINT AS structural, coalesce(main_pages, 0)::BIGINT AS main_pages, coalesce(secondary_pages, 0)::BIGINT AS secondary_pages,
+    coalesce(content_anchors, 0)::BIGINT AS content_anchors, coalesce(nav_anchors, 0)::BIGINT AS nav_anchors FROM c LEFT JOIN hm USING (entity_id) LEFT JOIN an USING (entity_id)
+), w AS (
+  SELECT *, round((log2(1 + pages::DOUBLE) + 0.5 * log2(1 + mentions::DOUBLE) + log2(1 + structural::DOUBLE) + 2 * log2(1 + main_pages::DOUBLE) + 0.5 * log2(1 + content_anchors::DOUBLE) + 0.1 * log2(1 + nav_anchors::DOUBLE)) * CASE WHEN mentions = 1 THEN 0.25 ELSE 1.0 END, 4) AS weight FROM x
 )"""
 
 
 def weights(s, d):
-    return G.entity_weights(mentions(s, d), main_entities(s, d).filter("role = 'main'").select("page_id", "entity_id"))
+    inbound = links(s, d).select(F.col("to_id").alias("to_page_id"), F.col("o_custkey").alias("group"), (F.col("position") == "body").alias("body"))
+    return G.entity_weights(mentions(s, d), main_entities(s, d), inbound)
 
 
 @query("entity_weights", f"WITH {WEIGHTS} SELECT * FROM w")
@@ -155,6 +171,38 @@ def _(s, d):
     return A.sections(rows.select("page_id", "ordinal", F.when(q < 10, 1).when(q < 20, 2).when(q < 30, 4).alias("level"), (F.col("l_partkey") % 50).alias("words")))
 
 
+@query("inherited_mains", f"""WITH {EVIDENCE}, du AS (SELECT o_orderkey AS page_id, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS original_id FROM orders), v AS (SELECT page_id, original_id FROM du WHERE page_id <> original_id)
+    SELECT * FROM main WHERE page_id NOT IN (SELECT page_id FROM v) UNION ALL SELECT v.page_id, entity_id, role, rank, confidence FROM v JOIN main ON main.page_id = v.original_id""")
+def _(s, d):
+    return G.inherited(main_entities(s, d), duplicates(s, d))
+
+
+def duplicates(s, d):
+    """Orders of a customer of one priority are copies of the first."""
+    same = Window.partitionBy("o_custkey", "o_orderpriority")
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("page_id"), F.min("o_orderkey").over(same).alias("original_id")).filter("page_id <> original_id")
+
+
+@query("pair_signals", f"""WITH {EVIDENCE}, a AS (SELECT o_orderkey AS page_id, o_orderkey // 2 AS pair, entity_id FROM orders LEFT JOIN main ON main.page_id = o_orderkey AND role = 'main'), z AS (SELECT pair FROM a GROUP BY pair HAVING count(DISTINCT coalesce(entity_id, -1)) > 1)
+    SELECT page_id, 'pair_differs' AS signal FROM a WHERE pair IN (SELECT pair FROM z) UNION ALL SELECT page_id, 'primary_empty' FROM a WHERE page_id NOT IN (SELECT page_id FROM e WHERE kind = 'primary')""")
+def _(s, d):
+    lists = evidence(s, d).filter("kind = 'primary'").select("page_id").distinct().withColumn("has_list", F.lit(True))
+    pages = language_pairs(s, d).join(lists, "page_id", "left").withColumn("has_list", F.coalesce("has_list", F.lit(False)))
+    return G.pair_signals(main_entities(s, d), pages)
+
+
+@query("graph_edges", f"""WITH {EVIDENCE}, du AS (SELECT o_orderkey AS page_id, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS original_id FROM orders)
+    SELECT type, from_kind, to_kind, count(*)::BIGINT AS edges, count(DISTINCT to_id)::BIGINT AS targets, sum(weight) AS weight FROM (
+      SELECT 'mentions' AS type, 'page' AS from_kind, 'entity' AS to_kind, entity_id AS to_id, sum(CASE position WHEN 'title' THEN 3.0 WHEN 'heading' THEN 2.0 ELSE 1.0 END * n)::DOUBLE AS weight FROM m WHERE NOT skip GROUP BY page_id, entity_id
+      UNION ALL SELECT 'main_entity', 'page', 'entity', entity_id, CASE role WHEN 'main' THEN 1.0 ELSE 0.5 END FROM main UNION ALL SELECT 'duplicate_of', 'page', 'page', original_id, 1.0 FROM du WHERE page_id <> original_id
+      UNION ALL SELECT 'variant_of', 'entity', 'entity', first, 1.0 FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS first FROM part) WHERE p_partkey <> first) GROUP BY ALL""")
+def _(s, d):
+    first = F.min("p_partkey").over(Window.partitionBy("p_name", "p_brand"))
+    variants = table(s, d, "part").select(F.col("p_partkey").alias("from_id"), first.alias("to_id"), F.lit("variant_of").alias("type")).filter("from_id <> to_id")
+    rows = G.edges(mentions(s, d), main_entities(s, d), duplicates(s, d), variants)
+    return rows.groupBy("type", "from_kind", "to_kind").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("to_id").alias("targets"), F.sum("weight").alias("weight"))
+
+
 def _findings_sql() -> str:
     sql = {n: QUERIES[n][1] for n in ("unclear_topic", "uncovered_topic", "orphan_pages", "canonical_targets")}
     columns = "type, severity, page_id, entity_id, evidence"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graphs, relational, resolution, shop, streams, web  # noqa: F401  each registers its queries
+from . import graphs, more, relational, resolution, shop, streams, web  # noqa: F401  each registers its queries
 from .projections import QUERIES
 
 

@@ -256,5 +256,5 @@ def robots_rules(files: DataFrame) -> DataFrame:
 def sitemap_urls(files: DataFrame) -> DataFrame:
     """files (sitemap, xml) -> sitemap, ordinal, loc, lastmod of each <url> or <sitemap>."""
     entries = files.select("sitemap", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<(?:url|sitemap)>(.*?)</(?:url|sitemap)>"), 1)).alias("ordinal", "entry"))
-    said = lambda tag: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("entry", rf"(?s)<{tag}>(.*?)</{tag}>", 1), "&amp;", "&")), F.lit(""))
+    said = lambda tag: F.nullif(F.btrim(F.regexp_replace(F.regexp_extract("entry", rf"(?s)<{tag}>(.*?)</{tag}>", 1), "&amp;", "&"), F.lit(" \t\r\n")), F.lit(""))
     return entries.select("sitemap", "ordinal", said("loc").alias("loc"), said("lastmod").alias("lastmod")).filter("loc IS NOT NULL")
