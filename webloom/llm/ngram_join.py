@@ -29,14 +29,13 @@ from pyspark.sql import functions as F
 
 from ._common import WordHashes, as_bytes, batches_of, cleared, documents, grams, saved, signed, slices, splitting_join, stored
 from ._components import components
+from ._slices import KEY, by_shard, gathered, record, shards_of, unpacked
 
 N, PERCENT = 3, 90
 #: N-grams of one block; a task holds two blocks.
 BLOCK = 1_000_000
 #: DivideSkip's weight of a probe's cost against a merge's, as published.
 MU = 0.0085
-#: Bytes of text of a slice, and of all texts for each shard of the n-grams' keys; bits that a key leaves out.
-SLICE_TEXT, SHARD_TEXT, KEY = 8_000_000, 64_000_000, np.uint64(16)
 LAST_ID = (1 << 63) - 1
 
 
@@ -140,20 +139,6 @@ def probed(lists: np.ndarray, s: np.ndarray, e: np.ndarray, found: np.ndarray, c
 SETS = "slice string, shard int, doc_ids array<long>, marks array<long>, sizes array<long>, prints array<binary>, sets array<binary>, lengths array<int>, blob binary"
 
 
-def packed(keys: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted keys of 48 bits and their counts: differences and counts by byte place, compressed."""
-    delta = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T[:6]
-    count = np.minimum(n, 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(delta.tobytes() + count.tobytes(), 1)
-
-
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(10, -1)
-    delta = np.zeros((planes.shape[1], 8), np.uint8)
-    delta[:, :6] = planes[:6].T
-    return np.cumsum(delta.view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(planes[6:].T).view("<u4").ravel()
-
-
 def sliced(docs: DataFrame, n: int, shards: int) -> DataFrame:
     """docs (doc_id, mark, text) in slices, a row of SETS for each: its rows, its distinct sets and a text of each; and a row for each shard of its n-grams' keys."""
     names = [x.split()[0] for x in SETS.split(", ")]
@@ -173,31 +158,17 @@ def sliced(docs: DataFrame, n: int, shards: int) -> DataFrame:
         if not own:
             return
         keys, count = np.unique(np.concatenate([sets[r] for r in own]) >> KEY, return_counts=True)
-        shard = ((keys >> np.uint64(16)) * np.uint64(shards)) >> np.uint64(32)
-        at = np.searchsorted(shard, np.arange(shards + 1))
-        for k in np.flatnonzero(np.diff(at)).tolist():
-            cut = slice(at[k], at[k + 1])
-            yield record(names, SETS, [name, k, None, None, None, None, None, None, packed(keys[cut], count[cut])])
+        for k, blob in by_shard(keys, count, shards):
+            yield record(names, SETS, [name, k, None, None, None, None, None, None, blob])
 
     def run(batches):
-        cache, held, size = WordHashes(), [], 0
-        for batch in slices(batches):
-            held.append(batch)
-            size += batch.column("text").nbytes
-            if size >= SLICE_TEXT:
-                yield from one(held, cache)
-                held, size = [], 0
-        if held:
+        cache = WordHashes()
+        for held in gathered(batches):
             yield from one(held, cache)
 
     return docs.mapInArrow(run, SETS)
 
 
-def record(names: list[str], schema: str, row: list) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
-    return pa.RecordBatch.from_arrays([pa.array([v], kinds[x.split()[1]]) for v, x in zip(row, schema.split(", "), strict=True)], names=names)
-
-
 def rarities(keys: DataFrame, shards: int) -> DataFrame:
     """keys (slice, shard, blob) -> the same with a class for each key: 0 where one set of all has it, else the more the more sets have it."""
 
@@ -279,8 +250,7 @@ def prefixes(sets: DataFrame, ranks: DataFrame, n: int, percent: int) -> DataFra
 def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, mark, text) -> doc_id, mark, n, fp (a set's print, null without words), root (of the set's links, a print), least (smallest id that they reach), n_links."""
     spark = docs.sparkSession
-    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bytes_ // SHARD_TEXT + 1)
+    shards = shards_of(docs)
     cut, cut_path = stored(sliced(docs, n, shards), "slices")
     header = cut.filter("shard < 0")
     rows = saved(header.select(F.explode(F.arrays_zip("doc_ids", "marks", "sizes", "prints")).alias("x")).select(F.col("x.doc_ids").alias("doc_id"), F.col("x.marks").alias("mark"), F.col("x.sizes").alias("n"), F.col("x.prints").alias("fp")), "rows")

@@ -1,13 +1,15 @@
 """Removal of word windows that start earlier elsewhere, behind a count-min prefilter.
 
-First pass: each partition sketches how often it sees the anchor of every window (the run of ANCHOR words with
-the smallest hash in it, which equal windows share); the partitions' sketches are summed cell by cell. A cell
-counts at least what it stands for, so a window whose cells say one occurrence has only one. Second pass: windows
-estimated repeated are grouped exactly by a 128-bit hash. Of a window's occurrences in one task all but the first
-go at once, so a key gets at most a row from each task, however often it occurs.
+First pass: each slice of the texts counts the anchors of its windows (the run of ANCHOR words with the smallest hash
+in a window, which equal windows share) and sends the counts to the shards of the key space; a shard merges them into
+a count-min sketch and answers each slice with a bit for each of its anchors. A cell counts at least what it stands
+for, so a window whose cells say one occurrence has only one. Second pass: windows estimated repeated are grouped
+exactly by a 128-bit hash. Of a window's occurrences in one slice all but the first go at once, so a key gets at most
+a row from each slice, however often it occurs.
 
-The sketch has DEPTH rows of at least four cells for each anchor, MOST_CELLS at most: that bounds the broadcast
-(two bits a cell and row while summing, one after it). Beyond it more windows reach the exact pass; none is lost.
+A shard's sketch has DEPTH rows of at least four cells for each anchor, MOST_CELLS at most. Shards grow in number with
+the texts, so cells stay as empty at any size, and no sketch is sent around. A full sketch lets more windows reach the
+exact pass; none is lost.
 
 Defined cases: null and empty texts have no words. Texts shorter than a window stay. Rows that share an id and a
 text have equal places, so neither is earlier; a null id is the smallest. Other columns pass through; a new
@@ -16,21 +18,23 @@ column whose name is taken gets an underscore.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._common import WordHashes, as_bytes, documents, free_name, grams, mixed, saved, signed, slices
+from ._common import WordHashes, as_bytes, batches_of, cleared, documents, free_name, grams, mixed, saved, signed, stored
+from ._slices import KEY, by_shard, gathered, record, shards_of, unpacked
 
 WINDOW, ANCHOR = 20, 8
-DEPTH, MOST_CELLS, CHUNK_BITS = 2, 1 << 28, 16
-#: Characters for each anchor, about: words of six, an anchor every seven.
-CHARS_AN_ANCHOR = 42
-#: Windows after which a task starts a new round of its own first occurrences.
-ROUND = 2_000_000
+DEPTH, MOST_CELLS = 2, 1 << 24
+#: Bytes of text worked on at once within a slice.
+PORTION = 2_000_000
 NO_ID = -(1 << 63)
 
 
@@ -49,78 +53,85 @@ def anchored(words: list[np.ndarray], window: int, anchor: int) -> tuple[np.ndar
     return flat, first, start, owner[start], place[start] + start, hashes
 
 
+PARTS = "slice string, shard int, ids array<long>, fps array<long>, lengths array<int>, blob binary"
+
+
+def sliced(docs: DataFrame, window: int, anchor: int, shards: int) -> DataFrame:
+    """docs (id, fp, text) in slices, a row of PARTS for each: its rows and texts; and a row for each shard of its anchors' keys, with how often it has them."""
+    names = [x.split()[0] for x in PARTS.split(", ")]
+
+    def run(batches):
+        cache = WordHashes()
+        for held in gathered(batches):
+            name = uuid.uuid4().hex
+            texts = [x for b in held for x in as_bytes(b.column("text"))]
+            ids, fps = ([x for b in held for x in b.column(c).to_pylist()] for c in ("id", "fp"))
+            yield record(names, PARTS, [name, -1, ids, fps, [len(t) for t in texts], zstandard.compress(b"".join(texts), 3)])
+            keys = [hashes[np.unique(place)] >> KEY for *_, place, hashes in (anchored(words, window, anchor) for words in some(texts, cache))]
+            for k, blob in by_shard(*np.unique(np.concatenate(keys), return_counts=True), shards):
+                yield record(names, PARTS, [name, k, None, None, None, blob])
+
+    return docs.mapInArrow(run, PARTS)
+
+
+def some(texts: list[bytes], cache: WordHashes):
+    """Words of some texts at a time, so that what is worked on stays small."""
+    held, size = [], 0
+    for text in texts:
+        held.append(cache.array(text.split()))
+        size += len(text)
+        if size >= PORTION:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 class Sketch:
-    """Cells that some partitions' counts reach two in, a bit each, for every row."""
+    """A shard's count-min sketch: DEPTH rows of cells, each at least as large as the counts of the keys it stands for."""
 
-    def __init__(self, cells: int, rows: int = DEPTH):
-        self.cells, self.rows = cells, rows
-        self.bits = np.zeros((rows, cells // 8), np.uint8)
+    def __init__(self, keys: int, most_cells: int):
+        self.cells = 1 << 10
+        while self.cells < min(most_cells, 4 * keys):
+            self.cells *= 2
+        self.count = np.zeros((DEPTH, self.cells), np.uint32)
 
     def cell(self, keys: np.ndarray, row: int) -> np.ndarray:
         return (mixed(keys + np.uint64(row * 0x9E3779B1 + 1)) & np.uint64(self.cells - 1)).astype(np.int64)
 
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        for row in range(DEPTH):  # two are as good as more, so sums stay small
+            np.add.at(self.count[row], self.cell(keys, row), np.minimum(n, 2).astype(np.uint32))
+
     def repeated(self, keys: np.ndarray) -> np.ndarray:
         """Keys that may occur twice."""
-        out = np.ones(len(keys), bool)
-        for row in range(self.rows):
-            c = self.cell(keys, row)
-            out &= (self.bits[row][c >> 3] >> (7 - (c & 7))) & 1 > 0
-        return out
-
-
-def sketched(docs: DataFrame, window: int, anchor: int, most_cells: int) -> Sketch:
-    """Of docs (text): partitions' sketches, cut into chunks of cells, summed chunk by chunk."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    cells = 1 << CHUNK_BITS
-    while cells < min(most_cells, 4 * chars // CHARS_AN_ANCHOR):
-        cells *= 2
-    empty = Sketch(cells)
-    chunks = cells >> CHUNK_BITS
-
-    def blobs(keys: list[np.ndarray]):
-        """A partition's counts, capped at two: a cell is listed once or twice, by chunk."""
-        keys = np.concatenate(keys)
-        for row in range(empty.rows):
-            cell = np.sort(empty.cell(keys, row))
-            cell = np.concatenate([cell[:2], cell[2:][cell[2:] != cell[:-2]]])
-            chunk, at = np.unique(cell >> CHUNK_BITS, return_index=True)
-            low = (cell & ((1 << CHUNK_BITS) - 1)).astype(np.uint16)
-            cut = np.split(low, at[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(chunk + row * chunks, pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["chunk", "cells"])
-
-    def partial(batches):
-        cache, keys, held = WordHashes(), [], 0
-        for batch in slices(batches):
-            *_, place, hashes = anchored([cache.array(t.split()) for t in as_bytes(batch.column("text"))], window, anchor)
-            keys.append(hashes[np.unique(place)])
-            held += len(keys[-1])
-            if held > ROUND:
-                yield from blobs(keys)
-                keys, held = [], 0
-        if held:
-            yield from blobs(keys)
+        return np.logical_and.reduce([self.count[row][self.cell(keys, row)] >= 2 for row in range(DEPTH)])
+
+
+def estimated(parts: DataFrame, shards: int, most_cells: int) -> DataFrame:
+    """parts (slice, shard, blob) -> the same with a bit for each key: whether all slices together may have it twice. A shard's slices are merged into one sketch."""
 
-    def summed(batches):
-        """Rows come sorted by chunk; one chunk's counts are held at a time."""
-        now, count = None, None
-        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(count >= 2).tobytes()])], names=["chunk", "bits"])
+    def answered(rows):
+        keys = [unpacked(blob) for _, _, blob in rows]
+        sketch = Sketch(sum(len(k) for k, _ in keys), most_cells)
+        for k, n in keys:
+            sketch.add(k, n)
+        for (name, shard, _), (k, _) in zip(rows, keys, strict=True):
+            yield record(["slice", "shard", "blob"], "slice string, shard int, blob binary", [name, shard, len(k).to_bytes(8, "little") + np.packbits(sketch.repeated(k)).tobytes()])
+
+    def run(batches):
+        """Rows come by shard."""
+        held: list[tuple] = []
         for batch in batches:
-            for chunk, cell in zip(batch.column("chunk").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                if chunk != now:
-                    if now is not None:
-                        yield done()
-                    now, count = chunk, np.zeros(1 << CHUNK_BITS, np.int64)
-                count += np.bincount(np.frombuffer(cell, np.uint16), minlength=1 << CHUNK_BITS)
-        if now is not None:
-            yield done()
-
-    parts = docs.select("text").mapInArrow(partial, "chunk long, cells binary")
-    merged = saved(parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(summed, "chunk long, bits binary"), "sketch")
-    width = (1 << CHUNK_BITS) // 8
-    for r in merged.toLocalIterator():  # of bounded size: MOST_CELLS bits a row
-        row, chunk = divmod(r.chunk, chunks)
-        empty.bits[row, chunk * width : (chunk + 1) * width] = np.frombuffer(r.bits, np.uint8)
-    return empty
+            for row in zip(*(batch.column(c).to_pylist() for c in ("slice", "shard", "blob")), strict=True):
+                if held and held[-1][1] != row[1]:
+                    yield from answered(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from answered(held)
+
+    return parts.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "slice string, shard int, blob binary")
 
 
 def judged(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -134,13 +145,15 @@ def judged(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, start: np.ndarray) -
     return later
 
 
-def repeated_windows(docs: DataFrame, sketch: Sketch, window: int, anchor: int) -> DataFrame:
-    """docs (id, fp, text) -> id, fp, start, n: runs of n windows that also start earlier."""
-    held = docs.sparkSession.sparkContext.broadcast(sketch)
+def repeated_windows(docs: DataFrame, window: int, anchor: int, most_cells: int) -> DataFrame:
+    """docs (id, fp, text) -> id, fp, gone: runs (start, n) of n windows that also start earlier; stored."""
+    spark, shards = docs.sparkSession, shards_of(docs)
+    cut, path = stored(sliced(docs, window, anchor, shards), "slices")
+    bits = saved(estimated(cut.filter("shard >= 0").select("slice", "shard", "blob"), shards, most_cells), "estimates")
     names = ["h1", "h2", "later", "id", "fp", "start", "n"]
 
     def rows(parts):
-        h1, h2, ids, fps, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h1, h2, ids, fps, start = parts
         later = judged(h1, h2, ids, start)
         one = np.ones(int((~later).sum()), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(x[~later]) for x in (h1, h2, later, ids, fps, start)] + [pa.array(one)], names=names)
@@ -150,34 +163,58 @@ def repeated_windows(docs: DataFrame, sketch: Sketch, window: int, anchor: int)
             ids, fps, start, n = ids[new], fps[new], start[new], np.diff(np.append(new, len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, start, np.ones(len(ids), bool), ids, fps, start, n)], names=names)
 
-    def found(batches):
-        cache, parts, n = WordHashes(), [], 0
-        for batch in slices(batches):
-            ids, fps = batch.column("id").to_numpy(), batch.column("fp").to_numpy()
-            flat, first, start, owner, place, hashes = anchored([cache.array(t.split()) for t in as_bytes(batch.column("text"))], window, anchor)
+    def windows(header, found, cache):
+        """The slice's windows whose anchor may be repeated."""
+        ids, fps, lengths, blob = header
+        data, at = zstandard.decompress(blob), np.cumsum([0, *lengths]).tolist()
+        ids, fps, done, parts = np.array(ids), np.array(fps), 0, []
+        for words in some([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], cache):
+            parts.append((done, *anchored(words, window, anchor)))
+            done += len(words)
+        keys = np.unique(np.concatenate([hashes[np.unique(place)] >> KEY for *_, place, hashes in parts]))
+        twice = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(x, np.uint8, offset=8), count=int.from_bytes(x[:8], "little")) for x in found)]).astype(bool)
+        if len(twice) != len(keys):
+            raise ValueError("the slice's anchors aren't those that were counted")
+        hits = []
+        for row, flat, first, start, owner, place, hashes in parts:
             if not len(start):
                 continue
-            twice = held.value.repeated(hashes[place])
-            start, owner = start[twice], owner[twice]
-            parts.append((signed(grams(flat, window, 3)[start]), signed(grams(flat, window, 5)[start]), ids[owner], fps[owner], start - first[owner]))
-            n += len(start)
-            if n > ROUND:
-                yield from rows(parts)
-                parts, n = [], 0
-        if n:
-            yield from rows(parts)
-
-    found_rows = docs.mapInArrow(found, "h1 long, h2 long, later boolean, id long, fp long, start long, n long")
+            own, back = np.unique(place, return_inverse=True)  # windows share anchors, so each is looked up once
+            hit = twice[np.searchsorted(keys, hashes[own] >> KEY)][back]
+            at_, of = start[hit], owner[hit]
+            hits.append((signed(grams(flat, window, 3)[at_]), signed(grams(flat, window, 5)[at_]), ids[row + of], fps[row + of], at_ - first[of]))
+        if any(len(h[0]) for h in hits):
+            yield from rows([np.concatenate(x) for x in zip(*hits, strict=True)])
+
+    def run(batches):
+        """Rows come by slice: its texts, then its anchors' bits by shard."""
+        cache, header, found = WordHashes(), None, []
+        for batch in batches:
+            for shard, *head, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "ids", "fps", "lengths", "blob")), strict=True):
+                if shard < 0:
+                    if header:
+                        yield from windows(header, found, cache)
+                    header, found = (*head, blob), []
+                else:
+                    found.append(blob)
+        if header:
+            yield from windows(header, found, cache)
+
+    both = cut.filter("shard < 0").unionByName(bits, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "shard")
     order = Window.partitionBy("h1", "h2", "later").orderBy("id", "start")
-    return found_rows.withColumn("rank", F.rank().over(order)).filter("later OR rank > 1").select("id", "fp", "start", "n")
+    with batches_of(spark, 64):
+        found_rows = both.mapInArrow(run, "h1 long, h2 long, later boolean, id long, fp long, start long, n long")
+        again = found_rows.withColumn("rank", F.rank().over(order)).filter("later OR rank > 1")
+        out = saved(again.groupBy("id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("gone")), "repeated")
+    cleared(spark, path)
+    return out
 
 
 def dedup_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text", doc_id: str = "doc_id", most_cells: int = MOST_CELLS) -> DataFrame:
     """docs with text cut to the words that are left, joined by a space, n_words (before) and n_removed."""
     row = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
     plain = row.select("id", "fp", "text")
-    sketch = sketched(plain, window, anchor, most_cells)
-    gone = repeated_windows(plain, sketch, window, anchor).groupBy("id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    gone = repeated_windows(plain, window, anchor, most_cells)
     joined = row.select("row", "id", "fp").join(gone, ["id", "fp"], "left").select("row", "gone")
     names = []
     for name in ("n_words", "n_removed"):
