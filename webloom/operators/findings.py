@@ -178,16 +178,36 @@ def breadcrumb_ignores_menu(items: DataFrame, crumbs: DataFrame, share: float =
     return finding(hit, "breadcrumb_ignores_menu", "low", None, None, F.concat_ws(":", "parent", "without", "all"))
 
 
-# Fixed values of the rules: addresses that sites block on purpose.
-INTENDED_FOLDERS = ("cart", "checkout", "account", "login", "admin", "search", "kosar", "penztar", "fiok", "belepes", "wp-admin")
-INTENDED_PARAMETERS = ("sort", "order", "filter", "limit", "add-to-cart", "sid")
+# Fixed values of the rules: words of folders and parameters (those with _ at the end: starts) that sites block on purpose.
+INTENDED = {
+    "cart": (("cart", "kosar", "checkout", "penztar", "basket"), ()),
+    "account": (("account", "login", "logout", "register", "regisztracio", "fiok", "belepes", "wishlist", "kivansaglista", "signin", "signup"), ()),
+    "search": (("search", "kereses", "kereso"), ("s", "q", "search", "keres", "kereses")),
+    "filter": (("filter", "szuro", "page"), ("sort", "order", "orderby", "limit", "page", "paged", "filter", "szuro", "filter_", "sort_")),
+    "admin": (("admin", "wp-login", "wp-json", "cgi-bin", "ajax", "api", "xmlrpc", "feed"), ()),
+}
 SEARCH_BOTS = ("googlebot", "bingbot")
 
 
+def intended_block(url: Column) -> Column:
+    """What a site means to keep robots from by an address: a folder (its ending aside) or a part of one between - and _, or a parameter's name; else null."""
+    names = F.transform(F.split(F.regexp_extract(F.lower(url), r"\?([^#]*)", 1), "&"), lambda p: F.regexp_replace(p, "=.*$", ""))
+    folders = F.transform(F.split(F.lower(U.path(url)), "/"), lambda f: F.regexp_replace(f, r"\.[^.]*$", ""))
+    said = F.concat(folders, F.flatten(F.transform(folders, lambda f: F.split(f, "[-_]"))))
+
+    def meant(words, parameters) -> Column:
+        out = F.exists(said, lambda w: w.isin(*words))
+        if parameters:
+            starts = [p for p in parameters if p.endswith("_")]
+            out |= F.exists(names, lambda n: reduce(Column.__or__, (n.startswith(p) for p in starts), n.isin(*parameters)))
+        return out
+
+    return F.coalesce(*(F.when(meant(*rule), F.lit(kind)) for kind, rule in INTENDED.items()))
+
+
 def robots_blocked_links(links: DataFrame) -> DataFrame:
     """links (to_page_id, to_url, pattern, allowed, indexable, position) by rule: blocked targets that search results should hold, high; in menus, medium; blocked on purpose, low."""
-    folders, query = F.split(F.lower(U.path(F.col("to_url"))), "/"), F.regexp_extract("to_url", r"\?([^#]*)", 1)
-    meant = F.arrays_overlap(folders, F.array(*map(F.lit, INTENDED_FOLDERS))) | F.exists(F.split(query, "&"), lambda p: F.regexp_replace(p, "=.*$", "").isin(*INTENDED_PARAMETERS))
+    meant = intended_block(F.col("to_url")).isNotNull()
     rows = links.filter(~F.col("allowed")).withColumn("meant", meant).groupBy("pattern", "meant").agg(F.bool_or("indexable").alias("indexable"), F.bool_or(F.col("position") == "nav").alias("menu"), F.countDistinct("to_url").alias("targets"))
     severity = F.when(F.col("meant"), "low").when(F.col("indexable"), "high").when(F.col("menu"), "medium").otherwise("low")
     return finding(rows, "robots_blocked_link", severity, None, None, F.concat_ws(":", "pattern", "targets"))
