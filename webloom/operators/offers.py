@@ -79,7 +79,7 @@ def product_attributes(name: Column) -> Column:
 def surface_spans(text: Column, surface: Column) -> Column:
     """Starts and ends of a name in a text, cases aside, any blanks between its words, no letter before or after it."""
     words = F.filter(F.split(surface, r"\s+"), lambda w: w != "")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.array_join(F.transform(words, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), r"\s+"), F.lit(r"(?!\p{L})"))
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.array_join(F.transform(words, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), r"\s+"), F.lit(r"(?!\p{L})"))
     hits, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
     total = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
     spans = F.transform(hits, lambda h, i: F.struct((total(between, i + 1) + total(hits, i)).alias("start"), (total(between, i + 1) + total(hits, i + 1)).alias("end")))

@@ -80,3 +80,16 @@ def with_crawl_ids(runs: DataFrame) -> DataFrame:
 def stop_reasons(runs: DataFrame) -> DataFrame:
     """runs (notes) with stopped: what the notes say after stopped:, else null."""
     return runs.withColumn("stopped", F.nullif(F.regexp_extract("notes", r"stopped: ([^;]*)", 1), F.lit("")))
+
+
+def within_budget(calls: DataFrame, keys: Sequence[str], order: Sequence[str], cost: str, reserve: float, cap: float) -> DataFrame:
+    """calls with spent, what was spent under the keys before each, and allowed: whether that and a reserve for one call stay within the cap. Calls are paid for, so a key's ledger is what one task sorts."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return calls.withColumn("spent", F.coalesce(F.sum(cost).over(before), F.lit(0))).withColumn("allowed", F.col("spent") + reserve <= cap)
+
+
+def overrun(progress: DataFrame, factor: float, calibration: int = 10) -> DataFrame:
+    """progress (run_id, page, seconds: since the run's start, expected: pages) -> run_id, stop: the first page after the calibration ones at which a run took factor times what they foretold, null if none."""
+    pace = F.max(F.when(F.col("page") == calibration, F.col("seconds") / calibration)).over(Window.partitionBy("run_id"))
+    late = (F.col("page") > calibration) & (F.col("seconds") > factor * F.col("pace") * F.col("expected"))
+    return progress.withColumn("pace", pace).groupBy("run_id").agg(F.min(F.when(late, F.col("page"))).alias("stop"))

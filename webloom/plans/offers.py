@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import text as X
+from ..operators import analytics as A
+from ..operators import findings as D
 from ..operators import offers as O
-from .projections import query, table
+from ..operators import resolve as R
+from ..operators import views as V
+from .projections import MENTIONS, QUERIES, mentions, query, table
 
 
 def line_blocks(s, d):
@@ -142,11 +148,57 @@ def _(s, d):
 @query("duplicate_mentions", """WITH m AS (SELECT l_orderkey AS page_id, CASE WHEN l_tax > 0.01 THEN l_linenumber END AS block, l_partkey AS entity_id, l_suppkey AS surface, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_tax) AS id FROM lineitem)
     SELECT b.page_id, b.block, b.entity_id, b.surface, count(*)::BIGINT AS rows FROM m a JOIN m b ON a.page_id = b.page_id AND a.block IS NOT DISTINCT FROM b.block AND (a.entity_id = b.entity_id OR a.surface = b.surface) AND a.id <> b.id GROUP BY ALL""")
 def _(s, d):
-    from ..operators import analytics as A
-
     c = F.col
     order = [F.asc(x) for x in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax")]
     rows = A.identified(table(s, d, "lineitem"), "id", order).select(c("l_orderkey").alias("page_id"), F.when(c("l_tax") > 0.01, c("l_linenumber")).alias("block"), c("l_partkey").alias("entity_id"), c("l_suppkey").alias("surface"), "id")
     a, b = rows.alias("a"), rows.alias("b")
     same = (c("a.page_id") == c("b.page_id")) & c("a.block").eqNullSafe(c("b.block")) & ((c("a.entity_id") == c("b.entity_id")) | (c("a.surface") == c("b.surface"))) & (c("a.id") != c("b.id"))
     return a.join(b, same).groupBy("b.page_id", "b.block", "b.entity_id", "b.surface").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("calls_within_budget", "SELECT event_id, coalesce(sum(event_id % 100) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent, spent + 50 <= 40000 AS allowed FROM events")
+def _(s, d):
+    calls = table(s, d, "events").select("event_id", "event_type", (F.col("event_id") % 100).alias("cost"))
+    return V.within_budget(calls, ["event_type"], ["event_id"], "cost", 50, 40000).select("event_id", "spent", "allowed")
+
+
+@query("overruns", """WITH p AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS page, epoch_us(ts) // 1000000 - min(epoch_us(ts) // 1000000) OVER (PARTITION BY user_id) AS seconds FROM events),
+    t AS (SELECT *, max(CASE WHEN page = 10 THEN seconds END) OVER (PARTITION BY run_id) / 10.0 AS pace FROM p) SELECT run_id, min(page) FILTER (WHERE page > 10 AND seconds > 1.5 * pace * 30)::INT AS stop FROM t GROUP BY run_id""")
+def _(s, d):
+    user = Window.partitionBy("user_id")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    rows = table(s, d, "events").select(F.col("user_id").alias("run_id"), F.row_number().over(user.orderBy("ts", "event_id")).alias("page"), (at - F.min(at).over(user)).alias("seconds"), F.lit(30).alias("expected"))
+    return V.overrun(rows, 1.5)
+
+
+@query("template_mentions", f"WITH {MENTIONS} SELECT entity_id FROM m GROUP BY entity_id HAVING bool_and(skip OR ordinal < 6)")
+def _(s, d):
+    return R.template_entities(mentions(s, d).withColumn("template", F.expr("skip OR ordinal < 6")))
+
+
+@query("volatile_hashes", "SELECT p_partkey, sha256('<p>' || p_name || '</p>') AS stable FROM part")
+def _(s, d):
+    key = F.col("p_partkey").cast("string")
+    changing = (
+        F.concat(F.lit(' data-cfemail="'), F.hex("p_partkey"), F.lit('"')), F.concat(F.lit(' nonce="n'), key, F.lit('"')), F.concat(F.lit("<!-- W3 Total Cache "), key, F.lit(" -->")), F.concat(F.lit("<!-- page generated in 0."), key, F.lit(" seconds -->")),
+        F.concat(F.lit('<meta name="csrf-token" content="'), key, F.lit('">')), F.concat(F.lit("<!-- 2024-01-01 10:00 "), key, F.lit("-->")), F.concat(F.lit("<!--x 1712345678 "), key, F.lit("-->")), F.concat(F.lit("<!--"), key, F.lit(" ms-->")),
+    )
+    token = F.element_at(F.array(*changing), (1 + F.col("p_size") % len(changing)).cast("int"))
+    inside = F.col("p_size") % len(changing) <= 1  # attributes stand in the tag, the rest after it
+    page = F.concat(F.lit("<p"), F.when(inside, token).otherwise(""), F.lit(">"), "p_name", F.when(inside, "").otherwise(token), F.lit("</p>"))
+    return table(s, d, "part").select("p_partkey", X.stable_hash(page).alias("stable"))
+
+
+@query(
+    "heading_rules",
+    f"""WITH s AS ({QUERIES["heading_sections"][1]}), t AS (SELECT *, CASE WHEN ordinal % 3 = 0 THEN repeat('word ', 12) || ordinal ELSE 'h' || ordinal END AS text FROM s), p AS (SELECT l_orderkey AS page_id, sum(l_partkey) AS words FROM lineitem GROUP BY ALL),
+    h AS (SELECT page_id, words, count(*) FILTER (WHERE level = 1) AS h1, count(*) FILTER (WHERE level = 2) AS h2 FROM p LEFT JOIN s USING (page_id) GROUP BY ALL),
+    f AS (SELECT 'missing_h1' AS type, 'high' AS severity, page_id, '' AS evidence FROM h WHERE h1 = 0 UNION ALL SELECT 'multiple_h1', 'low', page_id, h1::VARCHAR FROM h WHERE h1 > 1 UNION ALL SELECT 'missing_h2', 'low', page_id, words::VARCHAR FROM h WHERE h2 = 0 AND words > 600
+      UNION ALL SELECT 'skipped_level', 'low', page_id, text FROM t WHERE skipped UNION ALL SELECT CASE WHEN ordinal % 3 = 0 THEN 'paragraph_heading' ELSE 'empty_section' END, 'low', page_id, text FROM t WHERE empty)
+    SELECT *, NULL::BIGINT AS entity_id FROM f""",
+)
+def _(s, d):
+    heads = QUERIES["heading_sections"][0](s, d)
+    text = F.when(F.col("ordinal") % 3 == 0, F.concat(F.repeat(F.lit("word "), F.lit(12)), F.col("ordinal").cast("string"))).otherwise(F.concat(F.lit("h"), F.col("ordinal").cast("string")))
+    pages = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.sum("l_partkey").alias("words"))
+    return D.heading_findings(pages, heads, heads.select("page_id", "ordinal", "level", text.alias("text")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import work_dir
@@ -19,20 +19,28 @@ def windowed_counts(stream: DataFrame, time: str, keys: list[str], width: str =
 
 
 def frontier(stream: DataFrame, path: str, key: str = "url", depth: str = "depth"):
-    """Keeps a table of each key's smallest depth: every batch writes a new version beside the old, so a lost batch can be run again."""
-
-    def merge(batch: DataFrame, version: int) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy(key).agg(F.min(depth).alias(depth))
-        try:
-            old = spark.read.parquet(f"{path}/v{version - 1}")
-            new = old.unionByName(new).groupBy(key).agg(F.min(depth).alias(depth))
-        except Exception:
-            if version:
-                raise
-        new.write.mode("overwrite").parquet(f"{path}/v{version}")
-
-    return stream.writeStream.foreachBatch(merge)
+    """Writes each batch's smallest depths beside those before it: a batch costs what it holds, and one that is lost is written again over itself."""
+
+    def put(batch: DataFrame, version: int) -> None:
+        batch.groupBy(key).agg(F.min(depth).alias(depth)).write.mode("overwrite").parquet(f"{path}/batch={version}")
+
+    return stream.writeStream.foreachBatch(put)
+
+
+def frontier_table(spark: SparkSession, path: str, key: str = "url", depth: str = "depth") -> DataFrame:
+    """Each key's smallest depth over all batches written so far."""
+    return spark.read.parquet(path).groupBy(key).agg(F.min(depth).alias(depth))
+
+
+def leased(queue: DataFrame, most: int) -> DataFrame:
+    """queue (url, depth, priority, status) of which the next so many queued rows are leased: the smallest depth first, then priority, then address."""
+    batch = queue.filter("status = 'queued'").orderBy("depth", "priority", "url").limit(most).select("url", F.lit("leased").alias("now"))
+    return queue.join(batch, "url", "left").withColumn("status", F.coalesce("now", "status")).drop("now")
+
+
+def reissued(queue: DataFrame) -> DataFrame:
+    """queue after a restart: what was leased and never finished is queued again."""
+    return queue.withColumn("status", F.when(F.col("status") == "leased", "queued").otherwise(F.col("status")))
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
