@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import finders, graphs, more, offers, relational, resolution, shop, streams, web  # noqa: F401  each registers its queries
+from . import finders, graphs, labels, more, offers, relational, resolution, shop, streams, web  # noqa: F401  each registers its queries
 from .projections import QUERIES
 
 
