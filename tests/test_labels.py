@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 from webloom.operators import labels as B
+from webloom.operators import resolve as R
 
 
 def rows(df):
@@ -58,3 +59,19 @@ def test_structured_and_links(spark):
     links = spark.createDataFrame([(1, 0, "a", 5), (1, 1, "b", None), (1, 2, None, None)], "from_page_id long, ordinal int, to_url string, to_page_id long")
     more = links.withColumn("to_page_id", F.when(F.col("ordinal") < 2, F.coalesce("to_page_id", F.lit(7))))
     assert [r[3:] for r in rows(B.link_rows(links, more))] == [(5, "stored"), (7, "inferred"), (None, "none")]
+
+
+def test_aligned_headings(spark):
+    pages = {1: "2332232", 2: "233232", 3: "3", 4: "32323"}
+    heads = [(p, p * 100 + i, i, int(x)) for p, levels in pages.items() for i, x in enumerate(levels)]
+    pairs = spark.createDataFrame([(1, 2), (1, 1), (1, 3), (1, 4), (1, 9)], "left_id long, right_id long")
+    got = rows(B.aligned_headings(pairs, spark.createDataFrame(heads, "page_id long, block_id long, ordinal int, level int")))
+    own = [(1, 1, 100 + i, 100 + i) for i in range(7)]
+    # 1 has sections of 2, 0, 1 and 0 headings below, 2 has 2, 1, 0: one from the front, two from the back. 4 has 1, 1.
+    assert got == sorted(own + [(1, 2, 100, 200), (1, 2, 101, 201), (1, 2, 102, 202), (1, 2, 104, 203), (1, 2, 105, 204), (1, 2, 106, 205)])
+
+
+def test_people_of_two_words(spark):
+    people = spark.createDataFrame([(1, "Anna Kiss"), (2, "KISS Anna"), (3, "Anna Mária Kiss"), (4, "Kiss Mária Anna"), (5, "Anna"), (6, "anna"), (7, None)], "entity_id long, name string")
+    assert rows(R.person_merges(people, 2)) == [(1, 2)]
+    assert rows(R.person_merges(people)) == [(1, 2), (3, 4), (5, 6)]

@@ -122,3 +122,28 @@ def link_rows(links: DataFrame, inferred: DataFrame) -> DataFrame:
     more = inferred.select("from_page_id", "ordinal", F.col("to_page_id").alias("found")).distinct()
     how = F.when(F.col("to_page_id").isNotNull(), "stored").when(F.col("found").isNotNull(), "inferred").otherwise("none")
     return links.join(more, ["from_page_id", "ordinal"], "left").select("from_page_id", "ordinal", "to_url", F.coalesce("to_page_id", "found").alias("to_page_id"), how.alias("resolution"))
+
+
+def aligned_headings(pairs: DataFrame, headings: DataFrame) -> DataFrame:
+    """pairs (left_id, right_id) of pages, headings (page_id, block_id, ordinal, level) -> left_id, right_id, left_block, right_block.
+
+    A section is a heading of level 2 with those of level 3 below it. From the front, then from the back, sections are
+    paired as long as they have as many headings below; theirs are paired in order. Pages without sections have none.
+    """
+    page = Window.partitionBy("page_id").orderBy("ordinal")
+    rows = headings.filter("level IN (2, 3)").withColumn("section", F.last(F.when(F.col("level") == 2, F.col("ordinal")), ignorenulls=True).over(page)).filter("section IS NOT NULL")
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "block_id"))), lambda b: b["block_id"])
+    parts = rows.groupBy("page_id", "section").agg(blocks.alias("blocks")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("section", "blocks"))).alias("parts"))
+    parts = parts.select("page_id", F.transform("parts", lambda p: p["blocks"]).alias("parts"))  # the first block of each is its level 2
+    both = pairs.join(parts.toDF("left_id", "l"), "left_id").join(parts.toDF("right_id", "r"), "right_id")
+
+    def alike(a: Column, b: Column, most: Column) -> Column:
+        same = F.zip_with(F.transform(a, F.size), F.transform(b, F.size), lambda x, y: F.coalesce(x == y, F.lit(False)))
+        end = F.array_position(same, F.lit(False)).cast("int")
+        return F.least(most, F.when(end > 0, end - 1).otherwise(F.size(same)))
+
+    short = F.least(F.size("l"), F.size("r"))
+    both = both.withColumn("front", alike(F.col("l"), F.col("r"), short)).withColumn("back", alike(F.reverse("l"), F.reverse("r"), short - F.col("front")))
+    ends = lambda c: F.concat(F.slice(c, F.lit(1), F.col("front")), F.reverse(F.slice(F.reverse(c), F.lit(1), F.col("back"))))
+    found = F.arrays_zip(F.flatten(ends("l")).alias("left_block"), F.flatten(ends("r")).alias("right_block"))
+    return both.select("left_id", "right_id", F.inline(found))

@@ -88,10 +88,10 @@ def families(products: DataFrame, brand: str, name: str, least: int = 2) -> Data
     return best
 
 
-def person_merges(people: DataFrame) -> DataFrame:
-    """people (entity_id, name) -> kept_id, removed_id: those whose names have the same words in any order, cases and accents aside; the smallest id stays."""
-    key = F.array_join(F.array_sort(F.filter(F.split(X.alias_key(F.col("name")), " "), lambda w: w != "")), " ")
-    rows = people.withColumn("key", key).filter("key <> ''").withColumn("kept_id", F.min("entity_id").over(Window.partitionBy("key")))
+def person_merges(people: DataFrame, count: int | None = None) -> DataFrame:
+    """people (entity_id, name) -> kept_id, removed_id: those whose names have the same words in any order, cases and accents aside; the smallest id stays. With a count only names of so many words: for persons two."""
+    words = F.array_sort(F.filter(F.split(X.alias_key(F.col("name")), " "), lambda w: w != ""))
+    rows = people.withColumn("words", words).filter(F.size("words") == count if count else F.size("words") > 0).withColumn("key", F.array_join("words", " ")).drop("words").withColumn("kept_id", F.min("entity_id").over(Window.partitionBy("key")))
     return rows.filter("entity_id <> kept_id").select("kept_id", F.col("entity_id").alias("removed_id"))
 
 

@@ -116,3 +116,21 @@ def _(s, d):
     key = c("p_partkey")
     pages = table(s, d, "part").filter(key % 3 == 1).select(key.alias("page_id"), F.concat(F.lit("https://s.example/p"), key.cast("string")).alias("url"))
     return B.link_rows(links, L.unique_suffix_targets(links, pages))
+
+
+@query(
+    "aligned_headings",
+    """WITH x AS (SELECT l_orderkey AS p, l_linenumber AS o, min(l_quantity) AS q FROM lineitem GROUP BY ALL), h AS (SELECT p, o, CASE WHEN q < 15 THEN 2 ELSE 3 END AS level FROM x WHERE q < 40),
+    g AS (SELECT p, o, last_value(CASE WHEN level = 2 THEN o END IGNORE NULLS) OVER (PARTITION BY p ORDER BY o) AS s FROM h), b AS (SELECT p, s, o, row_number() OVER (PARTITION BY p, s ORDER BY o) AS k FROM g WHERE s IS NOT NULL),
+    t AS (SELECT p, s, count(*) AS n, row_number() OVER (PARTITION BY p ORDER BY s) AS i, count(*) OVER (PARTITION BY p) AS c FROM b GROUP BY p, s),
+    j AS (SELECT DISTINCT a.p AS lp, z.p AS rp, least(a.c, z.c) AS m FROM t a JOIN t z ON z.p = a.p + 1 WHERE a.p % 2 = 0),
+    f AS (SELECT lp, rp, m, coalesce((SELECT min(a.i) - 1 FROM t a JOIN t z ON z.i = a.i WHERE a.p = lp AND z.p = rp AND a.n <> z.n), m) AS front FROM j),
+    e AS (SELECT *, least(m - front, coalesce((SELECT min(a.c - a.i) FROM t a JOIN t z ON z.c - z.i = a.c - a.i WHERE a.p = lp AND z.p = rp AND a.n <> z.n), m)) AS back FROM f)
+    SELECT lp AS left_id, rp AS right_id, u.o AS left_block, v.o AS right_block FROM e JOIN t a ON a.p = lp JOIN t z ON z.p = rp AND ((a.i = z.i AND a.i <= front) OR (a.c - a.i = z.c - z.i AND a.c - a.i < back))
+    JOIN b u ON u.p = lp AND u.s = a.s JOIN b v ON v.p = rp AND v.s = z.s AND v.k = u.k""",
+)
+def _(s, d):
+    c = F.col
+    rows = table(s, d, "lineitem").groupBy(c("l_orderkey").alias("page_id"), c("l_linenumber").alias("ordinal")).agg(F.min("l_quantity").alias("q")).filter("q < 40")
+    heads = rows.select("page_id", c("ordinal").alias("block_id"), "ordinal", F.when(c("q") < 15, 2).otherwise(3).alias("level"))
+    return B.aligned_headings(table(s, d, "orders").filter("o_orderkey % 2 = 0").select(c("o_orderkey").alias("left_id"), (c("o_orderkey") + 1).alias("right_id")), heads)

@@ -121,6 +121,13 @@ def _(s, d):
     return R.person_merges(table(s, d, "part").select(key.alias("entity_id"), name.alias("name")))
 
 
+@query("person_name_pairs", "WITH p AS (SELECT p_partkey AS id, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS key FROM part WHERE p_size % 3 > 0), k AS (SELECT id, min(id) OVER (PARTITION BY key) AS kept FROM p) SELECT kept AS kept_id, id AS removed_id FROM k WHERE id <> kept")
+def _(s, d):
+    size = F.col("p_size")
+    name = F.when(size % 3 == 0, F.concat_ws(" ", "p_name", "p_type")).when(size % 3 == 1, F.initcap("p_name")).otherwise(F.array_join(F.reverse(F.split("p_name", " ")), "  "))
+    return R.person_merges(table(s, d, "part").select(F.col("p_partkey").alias("entity_id"), name.alias("name")), 2)
+
+
 @query("stop_reasons", "SELECT event_type AS stopped, count(*)::BIGINT AS runs FROM events WHERE event_type <> 'click' GROUP BY ALL UNION ALL SELECT NULL, count(*)::BIGINT FROM events WHERE event_type = 'click' HAVING count(*) > 0")
 def _(s, d):
     notes = F.concat(F.lit("started; "), F.when(F.col("event_type") == "click", "done").otherwise(F.concat(F.lit("stopped: "), "event_type")), F.lit("; kept"))
