@@ -2,7 +2,11 @@
 
 import brute
 import corpus_pipeline
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+
+from webloom.llm import _components, language_id, packing
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -55,3 +59,44 @@ def test_clean_rows_stay_where_ids_are_shared_or_null(spark, tmp_path):
     docs = spark.createDataFrame(SHARED, "doc_id long, text string").repartition(3)
     got = STAGES["decontamination"](spark, docs, str(tmp_path)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted([r for r in SHARED if not (r[1] or "").startswith("word0 ")], key=repr)
+
+
+def test_batches_of_stages_are_of_bounded_bytes(spark, awkward, table_dir):
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        for name, stage in STAGES.items():
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 28))
+            stage(spark, awkward.limit(1), table_dir)
+            texts = spark.range(0, 9000, 1, 1).select(F.expr("repeat('abcdefgh ', 200)").alias("text"))
+            sizes = [r.b for r in texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["b"]) for b in batches), "b long").collect()]
+            assert sum(sizes) > 16_000_000 and max(sizes) < 4_100_000, name
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
+def test_a_worker_lets_go_of_another_operators_cache():
+    packing.encoder(packing.tokenizer_path()).encode("some words of a text")
+    assert packing.encoder.cache_info().currsize == 1
+    list(language_id.small([pa.record_batch({"text": ["one", "two"]})], "text"))
+    assert packing.encoder.cache_info().currsize == 0
+
+
+def test_components_on_many_partitions_are_few_files(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = _components.components(spark.range(1, 1000).selectExpr("id AS a", "id - 1 - id % 10 % 3 % 2 AS b").filter("a % 100 > 1"))
+        rows = {r.node: r.root for r in found.collect()}
+        assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        for key, value in zip(("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"), before, strict=True):
+            spark.conf.set(key, value)
+    up = list(range(-2, 1001))
+    for a in range(1, 1000):
+        if a % 100 > 1:
+            b, top = a - 1 - a % 10 % 3 % 2, lambda x: x if up[x + 2] == x else top(up[x + 2])
+            x, y = sorted((top(a), top(b)))
+            up[y + 2] = x
+    top = lambda x: x if up[x + 2] == x else top(up[x + 2])
+    assert rows == {n: top(n) for n in rows} and len(rows) > 900

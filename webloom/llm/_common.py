@@ -5,7 +5,8 @@ from __future__ import annotations
 import contextlib
 import gc
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,28 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches hold two slices' bytes at most, from now on in this session: 10,000 rows of text would be tens of MB in the executor and once more in its Python worker."""
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(min(now, 2 * SLICE_BYTES)))
+
+
+#: Functions whose values a Python worker keeps from task to task.
+KEPT: list = []
+
+
+def kept(f: Callable) -> Callable:
+    """functools.cache for what a Python worker keeps for its next tasks, until it turns to another operator."""
+    KEPT.append(cache(f))
+    return KEPT[-1]
+
+
+def let_go() -> None:
+    """Drops what this Python worker keeps for another operator: it would count beside what the worker needs now."""
+    for f in KEPT:
+        f.cache_clear()
+
+
 def splitting_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A join by on whose hot keys Spark can split.
 

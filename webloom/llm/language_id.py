@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._common import as_bytes, crc_fold, documents, free_name, slices
+from ._common import as_bytes, crc_fold, documents, free_name, let_go, slices
 
 DIMS = 4096
 #: Bound of the labelled rows, for each language, that centroids are fitted on.
@@ -74,6 +74,7 @@ def vectors(texts: list[bytes], idf: np.ndarray) -> np.ndarray:
 
 
 def small(batches, text: str, rows: int = 250) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in slices(batches, text):
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

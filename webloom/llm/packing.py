@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, documents, saved, slices
+from ._common import as_bytes, documents, kept, saved, slices
 
 LENGTH = 1024
 END = 0
@@ -69,7 +69,7 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
 
-@cache
+@kept
 def encoder(tokenizer: str) -> Encoder:
     return Encoder(tokenizer)
 
